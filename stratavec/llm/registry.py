@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from stratavec.llm import bytebpe, langid, quality, tokens
+from stratavec.llm import bytebpe, langid, packing, quality, tokens, warc
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_warc": warc.op5_warc,
         "op6_token_counts": tokens.op6_token_counts,
         "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.OP4_SQL}
+    return {"op4_quality_rules": quality.OP4_SQL, "op5_warc": warc.OP5_SQL}
