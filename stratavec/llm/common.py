@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +52,39 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started within send at most `rows` rows to Python at a time; for columns of large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Bits of a membership bitmap: 4 MB, whatever the corpus. A full bitmap lets more rows through, never fewer.
+SLOTS = 1 << 25
+
+
+def slot(*columns: str) -> Column:
+    """Position of a key in a membership bitmap."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bytes of the bitmap with the positions in column slot set; aggregated where the keys are, in chunks of 32,768 bits."""
+    chunks = keys.select((F.col("slot") + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros(SLOTS // 8, np.uint8)
+    for r in chunks.collect():
+        at = (r.chunk - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def hit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which positions are set."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
