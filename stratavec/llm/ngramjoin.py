@@ -1,14 +1,15 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 75 %.
 
 Sets are kept in one global order, rare shingles first (by a counting sketch of fixed size, then by hash). Documents
-with equal sets are one class. Two linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each, so only
-those prefixes are shuffled, by shingle; classes that share none are done. Links are then found in two rounds:
+with equal sets are one class. Two linked sets share shingles among the first 40 % of each, so only those prefixes are
+shuffled, by shingle; classes that share too few of them with others for any link are done, and as they leave, others
+may follow. Links are then found in two rounds:
 
-1. In each shingle's list, every class is compared with the list's first class (one pair a row, not all pairs), and
-   links are contracted to components.
-2. Lists that still span several components are cut into tiles of bounded size; in a tile, the ordered sets are stored
+1. Every class is compared with one leader, the first class of the most lists that both are in (one pair a class, not
+   all pairs), and links are contracted to components.
+2. Lists that still span several components, merged where they span the same ones, are cut into tiles of bounded size; in a tile, the ordered sets are stored
    in a prefix tree, which each set traverses with partial overlaps, pruning subtrees whose remaining lengths cannot
-   reach the threshold. Pairs already in one component are skipped.
+   reach the threshold. Pairs within the block's largest component are never compared.
 
 Both rounds compare whole sets exactly (64-bit shingle hashes), so no link between different texts is lost.
 
@@ -34,6 +35,7 @@ from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices, windows
 
 WORDS = 5
 PERCENT = 75
+EXTRA = 15
 #: Counters of the sketch behind the global order, and counters a block; fixed, so what is broadcast never grows.
 SKETCH = 1 << 21
 BLOCK = 1 << 16
@@ -67,7 +69,17 @@ def class_key(found: np.ndarray) -> int:
 
 
 def prefix_size(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    """Entries of an ordered set that are shuffled: the n - ceil(0.75 n) + 1 that a link needs one of, and `EXTRA` % more.
+
+    With the extra ones, a linked set shares not one but at least `shared_least(n)` of them with its partner: if x's last
+    entry here comes first, all of the intersection lies within both or in what x has beyond, which is 60 % of x or y.
+    """
+    return n - -(-PERCENT * n // 100) + 1 + EXTRA * n // 100
+
+
+#: SQL for the least number of shuffled entries that a set of n has in common with any set it links with. An intersection
+#: of 3/7 (n + m) less at most 0.6 max(n, m) + 1 beyond the prefixes is least for m = 0.75 n: 0.15 n, less rounding.
+SHARED_LEAST = "greatest(1, CAST(floor(0.15D * n) AS INT) - 2)"
 
 
 def needed(n: int, m: int) -> int:
@@ -140,28 +152,30 @@ def prefixes(docs: DataFrame, level) -> DataFrame:
 
 
 def _lists(batches) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token: each distinct list of classes once a task, with sizes, smallest class first."""
-    seen: set[bytes] = set()
+    """From rows sorted by token: the distinct lists of two classes or more, with set sizes and how many tokens have each."""
+    made: dict[bytes, list] = {}
     held: list[tuple[np.ndarray, ...]] = []
+    weight = 0
 
-    def emit(token: np.ndarray, cls: np.ndarray, n: np.ndarray):
-        if not len(token):
-            return None
+    def take(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> None:
+        nonlocal weight
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
         token, cls, n = token[new], cls[new], n[new]
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         last = np.concatenate((first[1:], [len(token)]))
-        members, sizes = [], []
         for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-            key = cls[a:b].tobytes() if b - a <= 2 else zlib.crc32(cls[a:b].tobytes()).to_bytes(4, "little") + class_key(cls[a:b].view(np.uint64)).to_bytes(8, "little", signed=True)
-            if key not in seen:
-                seen.add(key)
-                members.append(cls[a:b])
-                sizes.append(n[a:b])
-        if len(seen) > 2_000_000:
-            seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["members", "sizes"]) if members else None
+            key = cls[a:b].tobytes()
+            if key in made:
+                made[key][2] += 1
+            else:
+                made[key] = [cls[a:b], n[a:b], 1]
+                weight += b - a + 8
+
+    def flush() -> pa.RecordBatch:
+        nonlocal made, weight
+        rows, made, weight = list(made.values()), {}, 0
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64())], ["members", "sizes", "tokens"])
 
     for batch in batches:
         token, cls, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls", "n"))
@@ -171,14 +185,33 @@ def _lists(batches) -> Iterator[pa.RecordBatch]:
             held.append((token, cls, n))
             continue
         cut = int(np.searchsorted(token, token[-1]))
-        got = emit(*(np.concatenate((*(h[i] for h in held), x[:cut])) for i, x in enumerate((token, cls, n))))
+        take(*(np.concatenate((*(h[i] for h in held), x[:cut])) for i, x in enumerate((token, cls, n))))
         held = [(token[cut:], cls[cut:], n[cut:])]
-        if got is not None:
-            yield got
+        if weight > 4_000_000:
+            yield flush()
     if held:
-        got = emit(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-        if got is not None:
-            yield got
+        take(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+    if made:
+        yield flush()
+
+
+#: Rounds in which classes with too few shared tokens leave the lists.
+PEELS = 2
+
+
+def peeled(lists: DataFrame) -> DataFrame:
+    """lists (members, sizes, tokens) without the classes that share too few tokens for any link, and without lists of one."""
+    for i in range(PEELS):
+        rows = lists.select(F.xxhash64("members").alias("list"), "tokens", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("list", "tokens", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
+        shared = rows.groupBy("cls", "n").agg(F.sum("tokens").alias("shared")).where(f"shared >= {SHARED_LEAST}").select("cls")
+        kept = rows.join(shared, "cls").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("m"), F.first("tokens").alias("tokens")).where("size(m) > 1")
+        lists, _ = stored(_merged(kept.select(F.col("m.cls").alias("members"), F.col("m.n").alias("sizes"), "tokens")), f"peeled{i}")
+    return lists
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """Equal lists as one, their tokens added up."""
+    return lists.groupBy("members").agg(F.first("sizes").alias("sizes"), F.sum("tokens").alias("tokens"))
 
 
 def full_sets(docs: DataFrame, level, reps: DataFrame) -> DataFrame:
@@ -272,8 +305,9 @@ class PrefixTree:
 
 
 def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-    """Links of one tile that join components: left sets form the tree, right ones (or all) traverse it."""
-    cls, comp, side = (part.column(c).to_pylist() for c in ("cls", "comp", "side"))
+    """Links of one tile that join components. Trees hold the sets of one side; those that are not of the block's largest
+    component traverse them, so no pair within that component is compared."""
+    cls, comp, side, big = (part.column(c).to_pylist() for c in ("cls", "comp", "side", "big"))
     data = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("data")]
     parent: dict[int, int] = {}
 
@@ -283,52 +317,82 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
             x = up
         return x
 
-    left = [i for i, s in enumerate(side) if s != 2]
-    right = [i for i, s in enumerate(side) if s != 1]
-    tree, links = PrefixTree([data[i] for i in left]) if left else None, []
-    for j in right if left else ():
-        for k in tree.search(data[j]):
-            i = left[k]
-            a, b = top(comp[i]), top(comp[j])
-            if a != b:
-                parent[a] = b
-                links.append((cls[i], cls[j]))
+    links, open_ = [], len(set(comp))
+
+    def cross(stored_: list[int], probes: list[int]) -> None:
+        nonlocal open_
+        tree = PrefixTree([data[i] for i in stored_]) if stored_ and probes else None
+        for j in probes if tree else ():
+            for k in tree.search(data[j]):
+                a, b = top(comp[stored_[k]]), top(comp[j])
+                if a != b:
+                    parent[a] = b
+                    links.append((cls[stored_[k]], cls[j]))
+                    open_ -= 1
+            if open_ == 1:
+                return
+
+    every = range(len(cls))
+    if side and side[0] == 0:
+        cross(list(every), [i for i in every if not big[i]])
+    else:
+        one, two = ([i for i in every if side[i] == s] for s in (1, 2))
+        cross(one, [i for i in two if not big[i]])
+        cross([i for i in two if big[i]], [i for i in one if not big[i]])
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def tiles(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """(block, cls, comp, side) for the lists that still span components. side 0: the tile with itself; 1 and 2: two tiles.
+    """(block, cls, comp, side, big) for the lists that still span components. side 0: the tile with itself; 1 and 2: two tiles.
 
-    Members are sorted by set size; tiles of sizes too far apart for any link are not paired.
+    Lists that span the same components make one block. Of its largest component (big) only sets whose size allows a link
+    with another member's are kept. Members are sorted by set size; tiles too far apart in size are not paired.
     """
-    rows = lists.select(F.xxhash64("members").alias("list"), F.posexplode(F.arrays_zip("members", "sizes")).alias("at", "x")).select("list", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
+    rows = lists.select(F.xxhash64("members").alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("list", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
     rows = rows.join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = rows.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    rows = rows.join(open_, "list", "left_semi")
-    by_list = rows.groupBy("list").agg(F.array_sort(F.collect_list(F.struct("n", "cls", "comp"))).alias("m"))
+    spans = rows.groupBy("list").agg(F.array_sort(F.collect_set("comp")).alias("comps")).where("size(comps) > 1").select("list", F.xxhash64("comps").alias("block"))
+    members = rows.join(spans, "list").select("block", "cls", "comp", "n").distinct()
+    sizes = members.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    largest = sizes.groupBy("block").agg(F.max_by("comp", F.struct("many", "comp")).alias("top"))
+    others = sizes.join(largest, "block").where("comp <> top").groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    flagged = members.join(largest, "block").join(others, "block").withColumn("big", F.col("comp") == F.col("top"))
+    flagged = flagged.where(f"NOT big OR (100 * n >= {PERCENT} * lo AND {PERCENT} * n <= 100 * hi)")
+    by_block = flagged.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "cls", "comp", "big"))).alias("m"))
 
     def run(batches):
         for batch in batches:
-            for name, members in zip(batch.column("list").to_pylist(), batch.column("m").to_pylist(), strict=True):
+            for name, members in zip(batch.column("block").to_pylist(), batch.column("m").to_pylist(), strict=True):
                 cut = [members[i : i + TILE] for i in range(0, len(members), TILE)]
-                block, cls, comp, side = [], [], [], []
+                loose = [any(not r["big"] for r in x) for x in cut]
+                held: list[tuple] = []
                 for i, x in enumerate(cut):
                     for j in range(i, len(cut)):
                         y = cut[j]
                         if 100 * x[-1]["n"] < PERCENT * y[0]["n"]:
                             break
-                        for own, s in ((x, 0),) if i == j else ((x, 1), (y, 2)):
-                            block += [f"{name}:{i}:{j}"] * len(own)
-                            cls += [r["cls"] for r in own]
-                            comp += [r["comp"] for r in own]
-                            side += [s] * len(own)
-                    if len(block) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cls, pa.int64()), pa.array(comp, pa.int64()), pa.array(side, pa.int32())], ["block", "cls", "comp", "side"])
-                        block, cls, comp, side = [], [], [], []
-                if block:
-                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cls, pa.int64()), pa.array(comp, pa.int64()), pa.array(side, pa.int32())], ["block", "cls", "comp", "side"])
+                        if loose[i] or loose[j]:
+                            for own, s in ((x, 0),) if i == j else ((x, 1), (y, 2)):
+                                held += [(f"{name}:{i}:{j}", r["cls"], r["comp"], s, r["big"]) for r in own]
+                        if len(held) > 50_000:
+                            yield _tile_rows(held)
+                            held = []
+                if held:
+                    yield _tile_rows(held)
+
+    return by_block.mapInArrow(run, "block string, cls long, comp long, side int, big boolean")
+
+
+def _tile_rows(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], ["block", "cls", "comp", "side", "big"])
+
 
-    return by_list.mapInArrow(run, "block string, cls long, comp long, side int")
+def first_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b): for each class b one leader a, the first class of the most lists that both are in."""
+    pairs = lists.select(F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("n"), F.explode(F.arrays_zip("members", "sizes")).alias("x"))
+    pairs = pairs.select("a", F.col("x.members").alias("b"), "n", F.col("x.sizes").alias("m")).where(f"a <> b AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    together = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"))
+    return together.groupBy("b").agg(F.max_by("a", F.struct("many", "a")).alias("a")).select("a", "b")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -337,16 +401,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, cls long, block int, part int, data binary"), "survey")
     level = spark.sparkContext.broadcast(levels(surveyed))
     rows = surveyed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    found = prefixes(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_lists, "members array<long>, sizes array<int>")
-    lists, lists_path = stored(found, "lists")
-    lists = lists.dropDuplicates(["members"])
+    found = prefixes(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_lists, "members array<long>, sizes array<int>, tokens long")
+    listed, lists_path = stored(found, "lists")
+    lists = peeled(_merged(listed))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     near = lists.select(F.explode("members").alias("cls")).distinct()
     reps, reps_path = stored(classes.join(near, "cls"), "reps")
     with arrow_rows(spark, 256):
         sets, sets_path = stored(full_sets(docs, level, reps), "sets")
-        pairs = lists.select(F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("n"), F.explode(F.arrays_zip("members", "sizes")).alias("x"))
-        pairs = pairs.select("a", F.col("x.members").alias("b"), "n", F.col("x.sizes").alias("m")).where(f"a <> b AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select("a", "b").distinct()
+        pairs = first_pairs(lists)
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
         links, links_path = stored(both.mapInArrow(_compare, "a long, b long"), "links")
     joined, _ = stored(components(links), "joined")
