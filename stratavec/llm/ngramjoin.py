@@ -5,8 +5,8 @@ with equal sets are one class. Two linked sets share shingles among the first 40
 shuffled, by shingle; classes that share too few of them with others for any link are done, and as they leave, others
 may follow. Links are then found in two rounds:
 
-1. Every class is compared with one leader, the first class of the most lists that both are in (one pair a class, not
-   all pairs), and links are contracted to components.
+1. In a few turns, every class is compared with one leader of another component (one pair a class, not all pairs), and
+   links are contracted to components.
 2. Lists that still span several components, merged where they span the same ones, are cut into tiles of bounded size; in a tile, the ordered sets are stored
    in a prefix tree, which each set traverses with partial overlaps, pruning subtrees whose remaining lengths cannot
    reach the threshold. Pairs within the block's largest component are never compared.
@@ -195,6 +195,8 @@ def _lists(batches) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: Leaders that a class is compared with before the tiles.
+TURNS = 3
 #: Rounds in which classes with too few shared tokens leave the lists.
 PEELS = 2
 
@@ -280,13 +282,16 @@ class PrefixTree:
         node.least = node.most = len(self.sets[i])
         return node
 
-    def search(self, probe: np.ndarray) -> Iterator[int]:
-        """Sets that link with the probe. A subtree is left as soon as overlap so far and what remains cannot suffice."""
+    def search(self, probe: np.ndarray, least: int = 0) -> Iterator[int]:
+        """Sets of at least `least` entries that link with the probe.
+
+        A subtree is left as soon as the overlap so far and what remains cannot suffice.
+        """
         n, stack = len(probe), [(self.root, 0, 0)]
         while stack:
             node, depth, overlap = stack.pop()
-            need = needed(n, node.least)
-            if min(n, node.most) < need:
+            need = needed(n, max(node.least, least))
+            if node.most < least or min(n, node.most) < need:
                 continue
             seen = 0
             for at in range(0, len(node.segment), 64):
@@ -319,11 +324,11 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 
     links, open_ = [], len(set(comp))
 
-    def cross(stored_: list[int], probes: list[int]) -> None:
+    def cross(stored_: list[int], probes: list[int], larger: bool = False) -> None:
         nonlocal open_
-        tree = PrefixTree([data[i] for i in stored_]) if stored_ and probes else None
+        tree = PrefixTree([data[i] for i in stored_]) if stored_ and probes and open_ > 1 else None
         for j in probes if tree else ():
-            for k in tree.search(data[j]):
+            for k in tree.search(data[j], len(data[j]) if larger else 0):
                 a, b = top(comp[stored_[k]]), top(comp[j])
                 if a != b:
                     parent[a] = b
@@ -334,7 +339,9 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 
     every = range(len(cls))
     if side and side[0] == 0:
-        cross(list(every), [i for i in every if not big[i]])
+        loose = [i for i in every if not big[i]]
+        cross([i for i in every if big[i]], loose)
+        cross(loose, loose, larger=True)
     else:
         one, two = ([i for i in every if side[i] == s] for s in (1, 2))
         cross(one, [i for i in two if not big[i]])
@@ -345,13 +352,13 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 def tiles(lists: DataFrame, joined: DataFrame) -> DataFrame:
     """(block, cls, comp, side, big) for the lists that still span components. side 0: the tile with itself; 1 and 2: two tiles.
 
-    Lists that span the same components make one block. Of its largest component (big) only sets whose size allows a link
+    Lists that span the same components make one block, and join the block of the widest list that spans theirs and more. Of its largest component (big) only sets whose size allows a link
     with another member's are kept. Members are sorted by set size; tiles too far apart in size are not paired.
     """
     rows = lists.select(F.xxhash64("members").alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("list", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
     rows = rows.join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    spans = rows.groupBy("list").agg(F.array_sort(F.collect_set("comp")).alias("comps")).where("size(comps) > 1").select("list", F.xxhash64("comps").alias("block"))
-    members = rows.join(spans, "list").select("block", "cls", "comp", "n").distinct()
+    spans = rows.groupBy("list").agg(F.array_sort(F.collect_set("comp")).alias("comps")).where("size(comps) > 1").withColumn("block", F.xxhash64("comps"))
+    members = rows.join(widest(spans), "list").select("block", "cls", "comp", "n").distinct()
     sizes = members.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     largest = sizes.groupBy("block").agg(F.max_by("comp", F.struct("many", "comp")).alias("top"))
     others = sizes.join(largest, "block").where("comp <> top").groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -382,17 +389,38 @@ def tiles(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return by_block.mapInArrow(run, "block string, cls long, comp long, side int, big boolean")
 
 
+def widest(spans: DataFrame) -> DataFrame:
+    """(list, block) from (list, comps, block): the block of the largest set of components that holds the list's own.
+
+    A superset also holds the component of the set that is in the fewest sets, so only sets with that one are looked at.
+    """
+    sets, _ = stored(spans.select("block", "comps").dropDuplicates(["block"]), "spans")
+    each = sets.select("block", F.explode("comps").alias("comp"))
+    rare = each.join(each.groupBy("comp").agg(F.count(F.lit(1)).alias("many")), "comp").groupBy("block").agg(F.min_by("comp", F.struct("many", "comp")).alias("comp"))
+    small = sets.join(rare, "block")
+    large = sets.select(F.col("block").alias("wide"), F.col("comps").alias("more"), F.explode("comps").alias("comp"))
+    over = small.join(large, "comp").where("size(more) >= size(comps) AND size(array_except(comps, more)) = 0")
+    best = over.groupBy("block").agg(F.max_by("wide", F.struct(F.size("more"), "wide")).alias("wide"))
+    return spans.select("list", "block").join(best, "block").select("list", F.col("wide").alias("block"))
+
+
 def _tile_rows(held: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], ["block", "cls", "comp", "side", "big"])
 
 
-def first_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): for each class b one leader a, the first class of the most lists that both are in."""
-    pairs = lists.select(F.element_at("members", 1).alias("a"), F.element_at("sizes", 1).alias("n"), F.explode(F.arrays_zip("members", "sizes")).alias("x"))
-    pairs = pairs.select("a", F.col("x.members").alias("b"), "n", F.col("x.sizes").alias("m")).where(f"a <> b AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    together = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"))
-    return together.groupBy("b").agg(F.max_by("a", F.struct("many", "a")).alias("a")).select("a", "b")
+def leaders(lists: DataFrame, turn: int, joined: DataFrame | None) -> DataFrame:
+    """(a, b): for each class b one class a of another component, by most shared tokens. Each list proposes one of its classes,
+    first its smallest, then others."""
+    at = F.pmod(F.xxhash64("members", F.lit(turn)), F.size("members")).cast("int") if turn else F.lit(0)
+    pairs = lists.select(F.get("members", at).alias("a"), F.get("sizes", at).alias("n"), "tokens", F.explode(F.arrays_zip("members", "sizes")).alias("x"))
+    pairs = pairs.select("a", F.col("x.members").alias("b"), "n", F.col("x.sizes").alias("m"), "tokens").where(f"a <> b AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("tokens").alias("many"))
+    if joined is not None:
+        for side in ("a", "b"):
+            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
+        pairs = pairs.where("coalesce(a_in, a) <> coalesce(b_in, b)")
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("many", "a")).alias("a")).select("a", "b")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -409,14 +437,18 @@ def join_components(docs: DataFrame) -> DataFrame:
     reps, reps_path = stored(classes.join(near, "cls"), "reps")
     with arrow_rows(spark, 256):
         sets, sets_path = stored(full_sets(docs, level, reps), "sets")
-        pairs = first_pairs(lists)
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-        links, links_path = stored(both.mapInArrow(_compare, "a long, b long"), "links")
-    joined, _ = stored(components(links), "joined")
+        links, joined, used = None, None, [lists_path, sets_path]
+        for turn in range(TURNS):
+            pairs = leaders(lists, turn, joined)
+            both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
+            found, path = stored(both.mapInArrow(_compare, "a long, b long"), "links")
+            links = found if links is None else links.union(found)
+            joined, _ = stored(components(links), "joined")
+            used.append(path)
     open_tiles, tiles_path = stored(tiles(lists, joined), "tiles")
     more, more_path = stored(open_tiles.join(sets, "cls").groupBy("block").applyInArrow(_tile, "a long, b long"), "links")
     final, _ = stored(components(links.union(more)), "final")
-    for path in (lists_path, sets_path, links_path, tiles_path, more_path):
+    for path in (*used, tiles_path, more_path):
         drop_path(spark, path)
     tops = classes.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("top"))
     least = tops.groupBy("top").agg(F.min("rep").alias("component_id"))

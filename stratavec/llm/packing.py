@@ -31,9 +31,22 @@ from stratavec.llm.textbytes import slices
 CAPACITY = 2048
 SEPARATOR = b"\0\0\0\0"
 #: Distinct words, and distinct pre-tokens, that a Python worker remembers before it starts afresh.
-CACHE_ENTRIES = 400_000
-#: The tokenizer's pre-token pattern where text is printable ASCII in lower case (a fixed value of the vocabulary file).
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+CACHE_ENTRIES = 800_000
+#: Words of visible ASCII and of letters from À to ſ, each lower-cased to one letter and unchanged by normalisation.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+#: The tokenizer's pre-token pattern on such words in lower case (a fixed value of the vocabulary file).
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+
+
+class _Words(dict):
+    """Ids by word; a word not seen before is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = self.encode(word)
+        return got
 
 
 class WordEncoder:
@@ -47,10 +60,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if not all(s.startswith("<|") for s in self.special):
+            raise ValueError("a special token does not start with <|")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.bytes_as_text = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Words(self._word)
         self.parts: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
@@ -67,23 +82,20 @@ class WordEncoder:
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
-        if any(s in word for s in self.special):
+        if "<|" in word and any(s in word for s in self.special):
             return self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if word.isascii() and word.isprintable():
-            return b"".join([self._part(p, False) for p in _ASCII.findall(word.lower())])
+        if _PLAIN.fullmatch(word):
+            return b"".join([self._part(p, False) for p in _PARTS.findall(word.lower())])
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
         return b"".join([self._part(p, True) for p, _ in split])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
         if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
+            self.words = _Words(self._word)
         if len(self.parts) > CACHE_ENTRIES:
             self.parts = {}
-        split = [r.split() for r in raws]
-        seen = self.words
-        for w in set().union(*split) - seen.keys():
-            seen[w] = self._word(w)
-        return [b"".join(map(seen.__getitem__, words)) for words in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, raw.split())) for raw in raws]
 
 
 @cache
