@@ -47,10 +47,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write a table to the shared scratch folder and read it back: cuts lineage so that lost executors cost a re-read only."""
+    """Write a table to the shared scratch folder and read it back: cuts lineage so that lost executors cost a re-read only.
+
+    The finished step's shuffle files are of no more use. Spark removes them when the driver's garbage is collected,
+    which is asked for here, as a small driver heap may otherwise hold them until the disks are full.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

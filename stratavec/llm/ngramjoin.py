@@ -119,12 +119,12 @@ def levels(surveyed: DataFrame) -> np.ndarray:
     counts = np.zeros(SKETCH)
     for r in rows:
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.data), np.uint64)
-    return np.clip(np.floor(np.log2((counts + 1) / (2 * counts.mean() + 4))), 0, 15).astype(np.uint64)
+    return np.clip(np.floor(np.log2((counts + 1) / (2 * counts.mean() + 4))), 0, 15).astype(np.uint8)
 
 
 def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set in the global order, as numbers that sort in it."""
-    return np.sort((level[(found & _MASK).astype(np.int64)] << np.uint64(60)) | (found >> np.uint64(4)))
+    return np.sort((level[(found & _MASK).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (found >> np.uint64(4)))
 
 
 def prefixes(docs: DataFrame, level) -> DataFrame:
@@ -196,7 +196,7 @@ def _lists(batches) -> Iterator[pa.RecordBatch]:
 
 
 #: Leaders that a class is compared with before the tiles.
-TURNS = 3
+TURNS = 2
 #: Rounds in which classes with too few shared tokens leave the lists.
 PEELS = 2
 
