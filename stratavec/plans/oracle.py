@@ -33,4 +33,4 @@ def base(cfg: PanelConfig = DEFAULT) -> str:
     cols = ", ".join(f"round(list_inner_product(q.x, p{j + 1}.y) / greatest(p{j + 1}.norm, 1e-12), 9) AS a{j + 1}" for j in range(len(cfg.lengths)))
     joins = " ".join(f"JOIN pstat p{j + 1} ON p{j + 1}.item_id = v.item_id AND p{j + 1}.option = {j + 1}" for j in range(len(cfg.lengths)))
     out.append(f"sc AS (SELECT q.item_id AS query_id, v.item_id, round(list_inner_product(q.x, v.x), 9) AS f, {cols} FROM gal0 q JOIN vec v ON q.role <> 'pool' AND q.item_id <> v.item_id {joins})")
-    return ",\n".join(out)
+    return ",\n".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out)

@@ -38,6 +38,7 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: PanelConfig):
         self.spark, self.cfg = spark, cfg
+        self._derived: dict[str, DataFrame] = {}
         self.path = f"{_root(spark)}/stratavec-panel-{uuid.uuid4().hex[:12]}"
         atexit.register(_drop, spark, self.path)
         roles = self.keep(with_roles(gallery(spark, sf_dir), cfg.seed), "roles")
@@ -77,6 +78,18 @@ class Panel:
 
         return self.items.select("item_id", "x", "codes").mapInArrow(run, "item_id long, option long, norm double, cos double")
 
+    def keep_once(self, rows: DataFrame, name: str) -> DataFrame:
+        """keep() for a relation that is the same whenever it is asked for."""
+        if name not in self._derived:
+            self._derived[name] = self.keep(rows, name)
+        return self._derived[name]
+
+    def derived(self, name: str, sql: str) -> DataFrame:
+        """A relation that many queries start from, written when first asked for."""
+        if name not in self._derived:
+            self._derived[name] = self.keep(self.spark.sql(sql), name)
+        return self._derived[name]
+
     def views(self) -> None:
         """Temporary views under the names that the panel's SQL uses."""
         self.items.select("item_id", "role", "label").createOrReplaceTempView("gal")
