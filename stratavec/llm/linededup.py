@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavec.llm.common import SLOTS, bitmap, hit, stored, table
+from stratavec.llm.common import SLOTS, arrow_rows, bitmap, hit, stored, table
 from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices
 
 MIN_DOCS = 5
 MIN_TOKENS = 3
 MIN_LITERAL = 0.6
+#: Documents that go to Python at a time, so that a run of long ones stays small.
+TEXT_ROWS = 1000
 #: Leading tokens that the tree branches on.
 DEPTH = 3
 _FIELD = np.uint64(0x5851F42D4C957F2D)
@@ -121,6 +123,11 @@ def _slot(column: str):
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_literal: float = MIN_LITERAL) -> DataFrame:
     """(line, template, texts, first_doc, first_number): lines of recurring templates, and each template's first occurrence."""
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return _recurring(docs, min_docs, min_tokens, min_literal)
+
+
+def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: float) -> DataFrame:
     rows = line_rows(docs, min_tokens)
     by_text = rows.groupBy("leaf", "line", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
     lines, _ = stored(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
@@ -169,7 +176,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
                 kind = pa.list_(pa.struct([("line", pa.int64()), ("number", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(rows), pa.array(n_lines, pa.int32()), pa.array(hits, kind)], names)
 
-    marked, _ = stored(docs.mapInArrow(run, schema), "marked")
+    with arrow_rows(spark, TEXT_ROWS):
+        marked, _ = stored(docs.mapInArrow(run, schema), "marked")
     hits = marked.where("size(_hits) > 0")
     found = hits.select("_row", "doc_id", F.inline("_hits")).join(known, "line").where("NOT (doc_id <=> first_doc AND number = first_number)")
     gone = found.groupBy("_row").agg(F.collect_set("number").alias("_gone"))

@@ -426,7 +426,8 @@ def leaders(lists: DataFrame, turn: int, joined: DataFrame | None) -> DataFrame:
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (class of equal sets), component_id."""
     spark = docs.sparkSession
-    surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, cls long, block int, part int, data binary"), "survey")
+    with arrow_rows(spark, 2000):
+        surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, cls long, block int, part int, data binary"), "survey")
     level = spark.sparkContext.broadcast(levels(surveyed))
     rows = surveyed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
     found = prefixes(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_lists, "members array<long>, sizes array<int>, tokens long")

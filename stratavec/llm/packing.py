@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratavec.llm.common import stored, table
+from stratavec.llm.common import arrow_rows, stored, table
 from stratavec.llm.textbytes import slices
 
 CAPACITY = 2048
@@ -176,7 +176,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, with keep_ids) of every piece."""
     spark = docs.sparkSession
-    made, _ = stored(pieces(docs, tokenizer_file, capacity, keep_ids), "pieces")
+    with arrow_rows(spark, 2000):
+        made, _ = stored(pieces(docs, tokenizer_file, capacity, keep_ids), "pieces")
     by_task = made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("many"))
     counts = {r.length: r.many for r in by_task.groupBy("length").agg(F.sum("many").alias("many")).collect()}
     plan = spark.sparkContext.broadcast(best_fit_plan(counts, capacity))
