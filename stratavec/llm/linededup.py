@@ -9,7 +9,7 @@ occurrence of a template (smallest doc_id, then line) stays, so nothing is lost
 Everything is counted with partial aggregation over hashed keys: no leaf meets in one task. Only lines of leaves with
 enough texts, whose exact form does not already recur enough, have their tokens counted.
 
-Defined results: lines with fewer than `min_tokens` tokens never form a template; null and empty texts pass unchanged;
+Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template; null and empty texts pass unchanged;
 repeated rows are equal texts and count once; a null doc_id sorts first; an empty table gives an empty result; extra
 columns are ignored. White space between tokens does not matter for equality; kept lines keep their bytes.
 """
@@ -36,18 +36,20 @@ _FIELD = np.uint64(0x5851F42D4C957F2D)
 
 
 class Lines:
-    """Per line of at least min_tokens tokens: document, number in the document, leaf, masked-line hash, token hashes."""
+    """Per line of at least min_tokens tokens, enough of them without digits: document, number in the document, leaf, masked-line hash, token hashes."""
 
-    def __init__(self, t: Texts, min_tokens: int):
+    def __init__(self, t: Texts, min_tokens: int, min_literal: float):
         sums = t.sums()
         ws, we, _ = t.words()
         words = sums.hash(ws, we)
         digit = np.concatenate(([0], np.cumsum((t.buf >= 48) & (t.buf <= 57), dtype=np.int64)))
-        words[digit[we] > digit[ws]] = _FIELD
+        field = digit[we] > digit[ws]
+        words[field] = _FIELD
+        fields = np.concatenate(([0], np.cumsum(field, dtype=np.int64)))
         ls, le, ld = t.lines()
         first, last = np.searchsorted(ws, ls), np.searchsorted(ws, le)
         number = np.arange(len(ls)) - np.searchsorted(ls, t.starts)[ld]
-        keep = last - first >= min_tokens
+        keep = (last - first >= min_tokens) & (last - first - (fields[last] - fields[first]) >= min_literal * (last - first))
         first, last, self.doc, self.number = first[keep], last[keep], ld[keep], number[keep]
         self.count = last - first
         up = np.full(len(words) + 1, MULTIPLIERS[7])
@@ -73,19 +75,19 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def line_rows(docs: DataFrame, min_tokens: int) -> DataFrame:
+def line_rows(docs: DataFrame, min_tokens: int, min_literal: float) -> DataFrame:
     """(leaf, line, text, doc_id, number) of every line long enough; leaf, line and text are hashes."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = Lines(Texts(batch.column("text")), min_tokens)
+                x = Lines(Texts(batch.column("text")), min_tokens, min_literal)
                 yield pa.RecordBatch.from_arrays([_signed(x.leaf), _signed(x.line), _signed(x.text[x.doc]), batch.column("doc_id").cast(pa.int64()).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32))], ["leaf", "line", "text", "doc_id", "number"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "leaf long, line long, text long, doc_id long, number int")
 
 
-def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int) -> DataFrame:
+def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal: float) -> DataFrame:
     """(line, tokens) once a task for the lines of wanted (slot of line); the bitmap may let others through."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
 
@@ -93,7 +95,7 @@ def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int) -> DataFrame
         seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = Lines(Texts(batch.column("text")), min_tokens)
+                x = Lines(Texts(batch.column("text")), min_tokens, min_literal)
                 lines, tokens = [], []
                 for i in np.flatnonzero(hit(bits.value, fold(x.line))):
                     key = int(x.line[i])
@@ -128,13 +130,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
 
 
 def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: float) -> DataFrame:
-    rows = line_rows(docs, min_tokens)
+    rows = line_rows(docs, min_tokens, min_literal)
     by_text = rows.groupBy("leaf", "line", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
     lines, _ = stored(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
     exact = lines.where(F.col("texts") >= min_docs)
     open_leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("forms")).where((F.col("n") >= min_docs) & (F.col("forms") > 1)).select("leaf")
     loose, _ = stored(lines.where(F.col("texts") < min_docs).join(open_leaves, "leaf", "left_semi"), "loose")
-    tokens = token_rows(docs, loose.select(_slot("line")), min_tokens).dropDuplicates(["line"]).join(loose, "line")
+    tokens = token_rows(docs, loose.select(_slot("line")), min_tokens, min_literal).dropDuplicates(["line"]).join(loose, "line")
     tokens, _ = stored(tokens, "tokens")
     each = tokens.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
     literal = each.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != F.lit(int(_FIELD)).cast("long"))).select("leaf", "pos", "token")
@@ -165,7 +167,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
         for whole in batches:
             for batch in slices(whole, "text"):
                 t = Texts(batch.column("text"))
-                x = Lines(t, min_tokens)
+                x = Lines(t, min_tokens, min_literal)
                 keep = hit(bits.value, fold(x.line))
                 hits: list[list] = [[] for _ in range(t.n)]
                 for d, line, number in zip(x.doc[keep], x.line[keep].view(np.int64), x.number[keep], strict=True):
