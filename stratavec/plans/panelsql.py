@@ -7,8 +7,22 @@ any ranking and ties go to the smaller id; results are rounded to 6 decimals.
 
 from __future__ import annotations
 
+import re
+
 from stratavec.config import DEFAULT, PanelConfig
 
+#: Resamples of the bootstrap queries.
+BOOTSTRAPS = 50
+#: The few functions that the engines spell differently: @sha<x> is the hex SHA-256 of x, @int<x> its first 32 bits.
+SPARK = {"sha": r"sha2(\1, 256)", "int": r"CAST(conv(substr(sha2(\1, 256), 1, 8), 16, 10) AS BIGINT)"}
+DUCKDB = {"sha": r"sha256(\1)", "int": r"CAST(concat('0x', substr(sha256(\1), 1, 8)) AS BIGINT)"}
+
+
+def _spelled(sql: str, engine: dict[str, str]) -> str:
+    for name, form in engine.items():
+        sql = re.sub(rf"@{name}<([^<>]*)>", form, sql)
+    return sql
+
 
 def fragments(cfg: PanelConfig = DEFAULT) -> dict[str, str]:
     """Named sub-queries in dependency order."""
@@ -53,6 +67,9 @@ def fragments(cfg: PanelConfig = DEFAULT) -> dict[str, str]:
         "alloc": "SELECT item_id, opt, len FROM (SELECT l.item_id, l.opt, o.len FROM lam l JOIN opts o ON o.opt = l.opt) t",
         "spans": "SELECT opt, len, items, CAST(sum(items) OVER (ORDER BY opt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - items AS BIGINT) AS row_start, CAST(sum(items) OVER (ORDER BY opt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS row_end FROM (SELECT opt, len, count(*) AS items FROM alloc GROUP BY opt, len) t",
         "two": f"SELECT query_id, item_id, s, CAST(rk AS BIGINT) AS rk FROM (SELECT t.*, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rk FROM (SELECT cd.query_id, cd.item_id, CASE a.opt {' '.join(f'WHEN {j + 1} THEN a{j + 1}' for j in range(len(cfg.lengths)))} END AS s FROM cd JOIN gal q ON q.item_id = cd.query_id AND q.role = 'test' JOIN alloc a ON a.item_id = cd.item_id) t) t WHERE rk <= {k}",
+        "pd": f"SELECT a.query_id, b.recall - a.recall AS delta, row_number() OVER (ORDER BY a.query_id) - 1 AS idx FROM rcl a JOIN rcl b ON b.query_id = a.query_id AND a.opt = 1 AND b.opt = {len(cfg.lengths)}",
+        "draws": f"SELECT b.b, p.idx AS slot, @int<concat('{cfg.seed}:', b.b, ':', p.idx)> % n.n AS pick FROM (SELECT row_number() OVER (ORDER BY item_id) AS b FROM gal) b CROSS JOIN pd p CROSS JOIN (SELECT count(*) AS n FROM pd) n WHERE b.b <= {BOOTSTRAPS}",
+        "boot": "SELECT d.b, avg(p.delta) AS m FROM draws d JOIN pd p ON p.idx = d.pick GROUP BY d.b",
         "tot": "SELECT item_id, max(v) - min(v) AS gain FROM risk GROUP BY item_id",
     }
 
@@ -129,14 +146,18 @@ def queries(cfg: PanelConfig = DEFAULT) -> dict[str, str]:
         "workload_transfer": f"SELECT round(avg(CASE WHEN c.n > 0 THEN 1e0 ELSE 0e0 END), 6) AS needed_covered, round(avg(CAST(c.n AS DOUBLE)), 6) AS needed_exposure, round(avg(CASE WHEN a.opt = 1 THEN 1e0 ELSE 0e0 END), 6) AS starved FROM (SELECT DISTINCT te.item_id FROM te JOIN gal q ON q.item_id = te.query_id AND q.role = 'test' WHERE te.rk <= {k}) w JOIN cov c ON c.item_id = w.item_id JOIN alloc a ON a.item_id = w.item_id",
         "provenance_check": "SELECT count(DISTINCT stage) AS stages, count(DISTINCT code) AS codes_used, count(*) AS symbols, count(DISTINCT item_id) AS items FROM codes",
         "gpd_tail_fit": "SELECT count(*) AS exceedances, round(avg(x), 6) AS b0, round(sum(x * (i - 1)) / (max(n) * (max(n) - 1e0)), 6) AS b1 FROM (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM (SELECT round(f - 3e-1, 9) AS x FROM te WHERE f > 3e-1) t) t",
+        "ivf_assign": "SELECT item_id, code AS cluster FROM codes WHERE stage = 0",
+        "alloc_shuffled_histogram": f"SELECT a.item_id, b.opt FROM (SELECT item_id, row_number() OVER (ORDER BY @sha<concat('{cfg.seed}:', item_id)>, item_id) AS n FROM alloc) a JOIN (SELECT opt, row_number() OVER (ORDER BY opt, item_id) AS n FROM alloc) b ON b.n = a.n",
+        "alloc_within_cluster": f"SELECT a.item_id, a.cluster, b.opt FROM (SELECT c.item_id, c.cluster, row_number() OVER (PARTITION BY c.cluster ORDER BY @sha<concat('{cfg.seed}:', c.item_id)>, c.item_id) AS n FROM clus c) a JOIN (SELECT c.cluster, l.opt, row_number() OVER (PARTITION BY c.cluster ORDER BY l.opt, l.item_id) AS n FROM alloc l JOIN clus c ON c.item_id = l.item_id) b ON b.cluster = a.cluster AND b.n = a.n",
+        "crossed_bootstrap": "SELECT b, round(m, 6) AS mean_delta FROM boot",
+        "simultaneous_band": "SELECT round(e.est, 6) AS estimate, round(stddev_samp(m), 6) AS se, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY m), 6) AS lo, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY m), 6) AS hi, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY abs(m - e.est)), 6) AS half_width FROM boot CROSS JOIN (SELECT avg(delta) AS est FROM pd) e GROUP BY e.est",
+        "rarefaction": "SELECT round(sum(1e0 - CASE WHEN c.n = 0 THEN 1e0 WHEN c.n > q.n - floor(q.n / 2e0) THEN 0e0 ELSE s.miss END) / count(*), 6) AS half_coverage FROM cov c CROSS JOIN nq q LEFT JOIN (SELECT c.n, exp(sum(ln((q.n - floor(q.n / 2e0) - i.i) / (q.n - i.i)))) AS miss FROM (SELECT DISTINCT n FROM cov) c CROSS JOIN nq q JOIN (SELECT row_number() OVER (ORDER BY item_id) - 1 AS i FROM gal) i ON i.i < c.n WHERE c.n <= q.n - floor(q.n / 2e0) GROUP BY c.n) s ON s.n = c.n",
         "subspace_order": "SELECT stage, code, count(*) AS items FROM codes GROUP BY stage, code",
     }
 
 
 def needs(sql: str, parts: dict[str, str], base: set[str]) -> list[str]:
     """Fragments that a text uses, in dependency order; base relations are left out."""
-    import re
-
     found: set[str] = set()
 
     def visit(text: str) -> None:
@@ -153,7 +174,7 @@ def composed(sql: str, cfg: PanelConfig = DEFAULT, base: set[str] = frozenset())
     """The text with its fragments as common table expressions."""
     parts = fragments(cfg)
     used = needs(sql, parts, set(base))
-    return f"WITH {', '.join(f'{n} AS ({parts[n]})' for n in used)} {sql}" if used else sql
+    return _spelled(f"WITH {', '.join(f'{n} AS ({parts[n]})' for n in used)} {sql}" if used else sql, SPARK)
 
 
 def oracle(sql: str, cfg: PanelConfig = DEFAULT) -> str:
@@ -161,4 +182,4 @@ def oracle(sql: str, cfg: PanelConfig = DEFAULT) -> str:
     from stratavec.plans.oracle import base
 
     parts = fragments(cfg)
-    return f"WITH {base(cfg)}" + "".join(f",\n{n} AS MATERIALIZED ({parts[n]})" for n in needs(sql, parts, set())) + f"\n{sql}"
+    return _spelled(f"WITH {base(cfg)}" + "".join(f",\n{n} AS MATERIALIZED ({parts[n]})" for n in needs(sql, parts, set())) + f"\n{sql}", DUCKDB)
