@@ -245,13 +245,16 @@ def _compare(batches):
 
 
 class PrefixTree:
-    """A path-compressed trie of globally ordered sets."""
+    """A path-compressed trie of globally ordered sets.
+
+    The sets may lack entries that no other set of the tile has; sizes are then those of the whole sets.
+    """
 
     class Node:
-        __slots__ = ("children", "items", "least", "most", "segment")
+        __slots__ = ("children", "deepest", "items", "least", "most", "segment")
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        self.sets, self.sizes = sets, sizes or [len(s) for s in sets]
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.root = self._build(0, len(self.order), 0)
 
@@ -262,8 +265,8 @@ class PrefixTree:
         differ = np.flatnonzero(a[:k] != b[:k])
         common = int(differ[0]) if len(differ) else k
         node.segment, depth = a[:common], depth + common
-        sizes = [len(s) for s in own]
-        node.least, node.most, node.items, node.children = min(sizes), max(sizes), [], []
+        sizes = [self.sizes[i] for i in self.order[lo:hi]]
+        node.least, node.most, node.deepest, node.items, node.children = min(sizes), max(sizes), max(map(len, own)), [], []
         at = lo
         while at < hi and len(self.sets[self.order[at]]) == depth:
             node.items.append(self.order[at])
@@ -279,19 +282,22 @@ class PrefixTree:
     def _leaf(self, at: int, depth: int) -> Node:
         node, i = self.Node(), self.order[at]
         node.segment, node.items, node.children = self.sets[i][depth:], [i], []
-        node.least = node.most = len(self.sets[i])
+        node.least = node.most = self.sizes[i]
+        node.deepest = len(self.sets[i])
         return node
 
-    def search(self, probe: np.ndarray, least: int = 0) -> Iterator[int]:
-        """Sets of at least `least` entries that link with the probe.
+    def search(self, probe: np.ndarray, size: int, least: int = 0) -> Iterator[int]:
+        """Sets of at least `least` entries that link with the probe, whose whole set has `size` entries.
 
         A subtree is left as soon as the overlap so far and what remains cannot suffice.
         """
         n, stack = len(probe), [(self.root, 0, 0)]
+        if not n:
+            return
         while stack:
             node, depth, overlap = stack.pop()
-            need = needed(n, max(node.least, least))
-            if node.most < least or min(n, node.most) < need:
+            need = needed(size, max(node.least, least))
+            if node.most < least or min(n, node.deepest) < need:
                 continue
             seen = 0
             for at in range(0, len(node.segment), 64):
@@ -300,15 +306,36 @@ class PrefixTree:
                 overlap += int((probe[np.minimum(place, n - 1)] == part).sum())
                 depth += len(part)
                 seen = int(np.searchsorted(probe, part[-1], "right"))
-                if overlap + min(n - seen, node.most - depth) < need:
+                if overlap + min(n - seen, node.deepest - depth) < need:
                     break
             else:
                 for i in node.items:
-                    if overlap >= needed(n, len(self.sets[i])):
+                    if self.sizes[i] >= least and overlap >= needed(size, self.sizes[i]):
                         yield i
                 stack.extend((child, depth, overlap) for child in node.children)
 
 
+def shared_only(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
+    """The sets that can link with another one here, and all sets without entries that no other of those has.
+
+    A set links only if at least 75 % of its entries are in another one; as sets leave, others may follow.
+    """
+    live, left = list(range(len(sets))), list(sets)
+    for _ in range(3):
+        if not live:
+            break
+        entries, many = np.unique(np.concatenate([left[i] for i in live]), return_counts=True)
+        common = entries[many > 1]
+        for i in live:
+            place = np.searchsorted(common, left[i])
+            left[i] = left[i][(common[np.minimum(place, len(common) - 1)] == left[i])] if len(common) else left[i][:0]
+        stay = [i for i in live if 100 * len(left[i]) >= PERCENT * len(sets[i])]
+        if len(stay) == len(live):
+            break
+        live = stay
+    return live, left
+
+
 def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     """Links of one tile that join components. Trees hold the sets of one side; those that are not of the block's largest
     component traverse them, so no pair within that component is compared."""
@@ -322,13 +349,15 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
             x = up
         return x
 
-    links, open_ = [], len(set(comp))
+    links, size = [], [len(x) for x in data]
+    live, data = shared_only(data)
+    open_ = len({comp[i] for i in live})
 
     def cross(stored_: list[int], probes: list[int], larger: bool = False) -> None:
         nonlocal open_
-        tree = PrefixTree([data[i] for i in stored_]) if stored_ and probes and open_ > 1 else None
+        tree = PrefixTree([data[i] for i in stored_], [size[i] for i in stored_]) if stored_ and probes and open_ > 1 else None
         for j in probes if tree else ():
-            for k in tree.search(data[j], len(data[j]) if larger else 0):
+            for k in tree.search(data[j], size[j], size[j] if larger else 0):
                 a, b = top(comp[stored_[k]]), top(comp[j])
                 if a != b:
                     parent[a] = b
@@ -337,7 +366,7 @@ def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
             if open_ == 1:
                 return
 
-    every = range(len(cls))
+    every = live
     if side and side[0] == 0:
         loose = [i for i in every if not big[i]]
         cross([i for i in every if big[i]], loose)

@@ -231,8 +231,17 @@ def test_prefix_tree_finds_all_links():
     tree = ngramjoin.PrefixTree(sets)
     for probe in sets:
         want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))}
-        assert set(tree.search(probe)) == want
-        assert set(tree.search(probe, len(probe))) == {i for i in want if len(sets[i]) >= len(probe)}
+        assert set(tree.search(probe, len(probe))) == want
+        assert set(tree.search(probe, len(probe), len(probe))) == {i for i in want if len(sets[i]) >= len(probe)}
+
+
+def test_tiles_leave_out_what_cannot_link():
+    a, b = np.arange(100, dtype=np.uint64), np.arange(20, 110, dtype=np.uint64)
+    c = np.concatenate((np.arange(10), np.arange(500, 600))).astype(np.uint64)
+    live, left = ngramjoin.shared_only([a, b, c])
+    assert live == [0, 1] and left[0].tolist() == list(range(20, 100))
+    tree = ngramjoin.PrefixTree([left[0]], [100])
+    assert list(tree.search(left[1], 90)) == ([0] if 100 * 80 >= 75 * 110 else [])
 
 
 def test_line_dedup(docs, none):
