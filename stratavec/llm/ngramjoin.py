@@ -491,11 +491,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; documents with an empty set all stay."""
+    """Pipeline stage: of each component the document with the smallest id stays, once; documents with an empty set, and
+    different texts of components without an id, all stay."""
     columns = docs.columns
     kept = join_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     single = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return single.dropDuplicates(["doc_id"]).select(*columns)
+    return single.dropDuplicates(["doc_id", "text"]).select(*columns)
 
 
 OP8_SQL = r"""
