@@ -39,7 +39,9 @@ LOOSE = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?:password|passwd|secret|token|api_key)[=:][^ \t\n\x0B\f\r]{6,200})",
 }
-_OCTETS = r"^0*+([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.0*+([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
+#: A part may be zeros only: the possessive run must not leave nothing for the digits behind it.
+_OCTET = r"0*+(?:(?<=0)(?![0-9])|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_OCTETS = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 #: Gazetteers: what a span of the kind must match to be known, and what makes it known as something else.
 KNOWN = {
     "email": r"\.(?:com|org|net|edu|gov|mil|int|info|io|co|de|fr|es|uk|eu|ch|at|it|nl|us)$",

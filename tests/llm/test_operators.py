@@ -175,6 +175,19 @@ def test_pii_base_spans_match_brute_force(spark, docs, none):
     assert clean.text == "<email> x <ip>"
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    texts = ["192.168.0.1", "10.0.0.1", "8.8.8.0", "0.0.0.0", "000.1.2.3", "1.2.3.000255", "1.2.3.00256", "00.300.1.1", "1.2.3.0x", "0" * 40000 + ".0.0.0", "0" * 40000 + "999.0.0.0"]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).persist()
+    for r in pii.detect(found, pii.fit(found)).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == base_spans_long(r.text), r.text[:60]
+    assert pii.redact(spark.createDataFrame([(1, "at 10.0.0.1 now")], "doc_id long, text string"), pii.fit(found)).first().text == "at <ip> now"
+
+
+def base_spans_long(text):
+    """base_spans of texts whose only candidates are addresses; int() refuses very long parts."""
+    return [("ip", m.start(), m.end()) for m in re.finditer(BASE["ip"], text) if all(int(p.lstrip("0") or "0") < 256 for p in m[0].split("."))]
+
+
 def shingles(text):
     w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in split(text)]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
