@@ -6,10 +6,13 @@ text count once), else the position generalises to a variable field. The line's
 Templates with at least `min_literal` literal positions that recur in `min_docs` distinct texts are dropped; the first
 occurrence of a template (smallest doc_id, then line) stays, so nothing is lost from the corpus as a whole.
 
+Besides, lines of more than `LONG_TOKENS` tokens count exactly as they stand (digits too), and drop from `LONG_DOCS`
+distinct texts on, the first occurrence apart: a passage that long does not recur by chance.
+
 Everything is counted with partial aggregation over hashed keys: no leaf meets in one task. Only lines of leaves with
 enough texts, whose exact form does not already recur enough, have their tokens counted.
 
-Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template; null and empty texts pass unchanged;
+Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template, and blank lines always stay; null and empty texts pass unchanged;
 repeated rows are equal texts and count once; a null doc_id sorts first; an empty table gives an empty result; extra
 columns are ignored. White space between tokens does not matter for equality; kept lines keep their bytes.
 """
@@ -28,6 +31,9 @@ from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices
 MIN_DOCS = 5
 MIN_TOKENS = 3
 MIN_LITERAL = 0.6
+#: An exact line of more tokens than this is a passage, and drops from LONG_DOCS distinct texts on.
+LONG_TOKENS = 50
+LONG_DOCS = 2
 #: Documents that go to Python at a time, so that a run of long ones stays small.
 TEXT_ROWS = 1000
 #: Leading tokens that the tree branches on.
@@ -36,39 +42,51 @@ _FIELD = np.uint64(0x5851F42D4C957F2D)
 
 
 class Lines:
-    """Per line of at least min_tokens tokens, enough of them without digits: document, number in the document, leaf, masked-line hash, token hashes."""
+    """Keys of lines: document, number in the document, leaf, line hash, whether it is exact, whether it is long, token span.
+
+    A line that can form a template has a key in its leaf, with digits masked; a line whose own bytes count has an exact
+    key without a leaf, unless nothing of it is masked, when its one key serves both.
+    """
 
     def __init__(self, t: Texts, min_tokens: int, min_literal: float):
         sums = t.sums()
         ws, we, _ = t.words()
-        words = sums.hash(ws, we)
+        raw = sums.hash(ws, we)
         digit = np.concatenate(([0], np.cumsum((t.buf >= 48) & (t.buf <= 57), dtype=np.int64)))
         field = digit[we] > digit[ws]
+        words = raw.copy()
         words[field] = _FIELD
         fields = np.concatenate(([0], np.cumsum(field, dtype=np.int64)))
         ls, le, ld = t.lines()
         first, last = np.searchsorted(ws, ls), np.searchsorted(ws, le)
         number = np.arange(len(ls)) - np.searchsorted(ls, t.starts)[ld]
-        keep = (last - first >= min_tokens) & (last - first - (fields[last] - fields[first]) >= min_literal * (last - first))
-        first, last, self.doc, self.number = first[keep], last[keep], ld[keep], number[keep]
-        self.count = last - first
+        size, masked = last - first, fields[last] - fields[first]
+        general = (size >= min_tokens) & (size - masked >= min_literal * size)
+        exact = (size > LONG_TOKENS) & ~(general & (masked == 0))
         up = np.full(len(words) + 1, MULTIPLIERS[7])
         up[0] = 1
         up = np.cumprod(up)
         down = np.full(len(words) + 1, np.uint64(pow(int(MULTIPLIERS[7]), -1, 2**64)))
         down[0] = 1
         down = np.cumprod(down)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1])))
-        size = self.count.astype(np.uint64)
-        self.line = mix((total[last] - total[first]) * down[first] + size * MULTIPLIERS[8])
-        leaf = size * MULTIPLIERS[9]
+
+        def line(of: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(of * up[:-1])))
+            return mix((total[last[rows]] - total[first[rows]]) * down[first[rows]] + size[rows].astype(np.uint64) * MULTIPLIERS[8])
+
+        rows, own = np.flatnonzero(general), np.flatnonzero(exact)
+        self.line = np.concatenate((line(words, rows), line(raw, own)))
+        self.general = np.concatenate((np.ones(len(rows), bool), np.zeros(len(own), bool)))
+        self.long = np.concatenate(((masked[rows] == 0) & (size[rows] > LONG_TOKENS), size[own] > LONG_TOKENS))
+        rows = np.concatenate((rows, own))
+        first, last, self.doc, self.number = first[rows], last[rows], ld[rows], number[rows]
+        leaf = size[rows].astype(np.uint64) * MULTIPLIERS[9]
         for i in range(DEPTH):
             at = np.minimum(first + i, np.maximum(last - 1, 0))
             leaf = leaf + np.where(first + i < last, words[at] if len(words) else 0, 0).astype(np.uint64) * MULTIPLIERS[10 + i]
         self.leaf = mix(leaf)
         self.words, self.first, self.last = words, first, last
-        raw = sums.hash(t.starts, t.ends)
-        self.text = raw
+        self.text = sums.hash(t.starts, t.ends)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -76,15 +94,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def line_rows(docs: DataFrame, min_tokens: int, min_literal: float) -> DataFrame:
-    """(leaf, line, text, doc_id, number) of every line long enough; leaf, line and text are hashes."""
+    """(leaf, line, long, text, doc_id, number) of every key; leaf (null: exact only), line and text are hashes."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 x = Lines(Texts(batch.column("text")), min_tokens, min_literal)
-                yield pa.RecordBatch.from_arrays([_signed(x.leaf), _signed(x.line), _signed(x.text[x.doc]), batch.column("doc_id").cast(pa.int64()).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32))], ["leaf", "line", "text", "doc_id", "number"])
+                leaf = pa.array(x.leaf.view(np.int64), mask=~x.general)
+                yield pa.RecordBatch.from_arrays([leaf, _signed(x.line), pa.array(x.long), _signed(x.text[x.doc]), batch.column("doc_id").cast(pa.int64()).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32))], ["leaf", "line", "long", "text", "doc_id", "number"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, line long, text long, doc_id long, number int")
+    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, line long, long boolean, text long, doc_id long, number int")
 
 
 def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal: float) -> DataFrame:
@@ -97,7 +116,7 @@ def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal:
             for batch in slices(whole, "text"):
                 x = Lines(Texts(batch.column("text")), min_tokens, min_literal)
                 lines, tokens = [], []
-                for i in np.flatnonzero(hit(bits.value, fold(x.line))):
+                for i in np.flatnonzero(hit(bits.value, fold(x.line)) & x.general):
                     key = int(x.line[i])
                     if key not in seen:
                         seen.add(key)
@@ -131,10 +150,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
 
 def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: float) -> DataFrame:
     rows = line_rows(docs, min_tokens, min_literal)
-    by_text = rows.groupBy("leaf", "line", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
-    lines, _ = stored(by_text.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
-    exact = lines.where(F.col("texts") >= min_docs)
-    open_leaves = lines.groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("forms")).where((F.col("n") >= min_docs) & (F.col("forms") > 1)).select("leaf")
+    by_text = rows.groupBy("leaf", "line", "long", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
+    lines, _ = stored(by_text.groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
+    exact = lines.where(F.col("texts") >= F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs))
+    open_leaves = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("forms")).where((F.col("n") >= min_docs) & (F.col("forms") > 1)).select("leaf")
     loose, _ = stored(lines.where(F.col("texts") < min_docs).join(open_leaves, "leaf", "left_semi"), "loose")
     tokens = token_rows(docs, loose.select(_slot("line")), min_tokens, min_literal).dropDuplicates(["line"]).join(loose, "line")
     tokens, _ = stored(tokens, "tokens")
@@ -146,7 +165,7 @@ def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: flo
     general = shaped.groupBy("leaf", "mark").agg(F.sum("texts").alias("total"), F.min("at").alias("first")).where(F.col("total") >= min_docs)
     merged = shaped.join(general, ["leaf", "mark"]).select("line", F.xxhash64("leaf", "mark").alias("template"), F.col("total").alias("texts"), F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"))
     alone = exact.select("line", F.col("line").alias("template"), "texts", F.col("at.doc_id").alias("first_doc"), F.col("at.number").alias("first_number"))
-    return alone.unionByName(merged)
+    return alone.join(merged.select("line"), "line", "left_anti").unionByName(merged)
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_literal: float = MIN_LITERAL) -> DataFrame:

@@ -277,6 +277,22 @@ def test_line_dedup_generalises_fields(spark):
     assert got == {0: 0, **dict.fromkeys(range(1, 8), 1)}
 
 
+def dropped(spark, texts):
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.n_dropped for r in sorted(linededup.drop_lines(made).collect(), key=lambda r: r.doc_id)]
+
+
+def plain(n, seed):
+    return words(n, seed).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_line_dedup_long_passage_in_two_texts(spark):
+    passages = [plain(60, 50), words(60, 51)]
+    texts = [f"{plain(30, i)}\n{p}\n{plain(30, i + 70)}" for p in passages for i in (1 if p is passages[0] else 5, 3 if p is passages[0] else 7)]
+    short = [f"{plain(50, 52)}\n{plain(30, i)}" for i in (11, 12)]
+    assert dropped(spark, texts + short) == [0, 1, 0, 1, 0, 0]
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     voc = {"aa": ["the", "and", "thing", "over", "with"], "bb": ["und", "nicht", "über", "schön", "ist"], "cc": ["ción", "para", "año", "ella", "los"]}
