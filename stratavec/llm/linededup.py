@@ -6,8 +6,9 @@ text count once), else the position generalises to a variable field. The line's
 Templates with at least `min_literal` literal positions that recur in `min_docs` distinct texts are dropped; the first
 occurrence of a template (smallest doc_id, then line) stays, so nothing is lost from the corpus as a whole.
 
-Besides, lines of more than `LONG_TOKENS` tokens count exactly as they stand (digits too), and drop from `LONG_DOCS`
-distinct texts on, the first occurrence apart: a passage that long does not recur by chance.
+Besides, every line that is not blank counts exactly as it stands, digits too and whatever its length, and drops if it
+recurs in `min_docs` distinct texts, its first occurrence apart; one of more than `LONG_TOKENS` tokens, which does not
+recur by chance, from `LONG_DOCS` distinct texts on.
 
 Everything is counted with partial aggregation over hashed keys: no leaf meets in one task. Only lines of leaves with
 enough texts, whose exact form does not already recur enough, have their tokens counted.
@@ -62,7 +63,7 @@ class Lines:
         number = np.arange(len(ls)) - np.searchsorted(ls, t.starts)[ld]
         size, masked = last - first, fields[last] - fields[first]
         general = (size >= min_tokens) & (size - masked >= min_literal * size)
-        exact = (size > LONG_TOKENS) & ~(general & (masked == 0))
+        exact = (size > 0) & ~(general & (masked == 0))
         up = np.full(len(words) + 1, MULTIPLIERS[7])
         up[0] = 1
         up = np.cumprod(up)

@@ -293,6 +293,13 @@ def test_line_dedup_long_passage_in_two_texts(spark):
     assert dropped(spark, texts + short) == [0, 1, 0, 1, 0, 0]
 
 
+def test_line_dedup_exact_lines_of_any_length(spark):
+    recurring = ["Les.", "And ornd.", "+1 212 555 1234", words(40, 3)]
+    texts = ["\n".join([*recurring, "", plain(30, i), words(40, 60 + i)]) for i in range(5)]
+    assert dropped(spark, texts) == [0, 4, 4, 4, 4]
+    assert dropped(spark, texts[:4]) == [0] * 4
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     voc = {"aa": ["the", "and", "thing", "over", "with"], "bb": ["und", "nicht", "über", "schön", "ist"], "cc": ["ción", "para", "año", "ella", "los"]}
