@@ -3,7 +3,8 @@
 A line is parsed by its number of tokens, then by its leading tokens; tokens with a digit count as variable throughout.
 At a leaf, a token is a literal of its position if it stands there in at least `min_docs` distinct texts (copies of a
 text count once), else the position generalises to a variable field. The line's template is its literals and fields.
-Templates with at least `min_literal` literal positions that recur in `min_docs` distinct texts are dropped; the first
+A template covers every line of the leaf that agrees at its literal positions, frequent forms too; a line goes to the most
+general template that covers it. Templates with at least `min_literal` literal positions that recur in `min_docs` distinct texts are dropped; the first
 occurrence of a template (smallest doc_id, then line) stays, so nothing is lost from the corpus as a whole.
 
 Besides, every line that is not blank counts exactly as it stands, digits too and whatever its length, and drops if it
@@ -11,7 +12,7 @@ recurs in `min_docs` distinct texts, its first occurrence apart; one of more tha
 recur by chance, from `LONG_DOCS` distinct texts on.
 
 Everything is counted with partial aggregation over hashed keys: no leaf meets in one task. Only lines of leaves with
-enough texts, whose exact form does not already recur enough, have their tokens counted.
+enough texts and more than one form have their tokens counted.
 
 Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template, and blank lines always stay; null and empty texts pass unchanged;
 repeated rows are equal texts and count once; a null doc_id sorts first; an empty table gives an empty result; extra
@@ -139,6 +140,11 @@ def fold(line: np.ndarray) -> np.ndarray:
     return (line & _SLOT_BITS).astype(np.int64)
 
 
+def _mark(literals: str):
+    """Hash of a set of literals (their positions differ)."""
+    return F.aggregate(literals, F.lit(0).cast("long"), lambda seen, x: seen.bitwiseXOR(x.h))
+
+
 def _slot(column: str):
     return F.col(column).bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot")
 
@@ -152,19 +158,33 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
 def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: float) -> DataFrame:
     rows = line_rows(docs, min_tokens, min_literal)
     by_text = rows.groupBy("leaf", "line", "long", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
+    by_text, _ = stored(by_text, "by_text")
     lines, _ = stored(by_text.groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
     exact = lines.where(F.col("texts") >= F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs))
     open_leaves = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("forms")).where((F.col("n") >= min_docs) & (F.col("forms") > 1)).select("leaf")
-    loose, _ = stored(lines.where(F.col("texts") < min_docs).join(open_leaves, "leaf", "left_semi"), "loose")
+    loose, _ = stored(lines.join(open_leaves, "leaf", "left_semi").select("leaf", "line", "texts", "at"), "loose")
     tokens = token_rows(docs, loose.select(_slot("line")), min_tokens, min_literal).dropDuplicates(["line"]).join(loose, "line")
     tokens, _ = stored(tokens, "tokens")
     each = tokens.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
     literal = each.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != F.lit(int(_FIELD)).cast("long"))).select("leaf", "pos", "token")
     marked = tokens.select("leaf", "line", F.posexplode("tokens").alias("pos", "token")).join(literal, ["leaf", "pos", "token"])
-    shape = marked.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("literals"), F.sum(F.xxhash64("pos", "token").cast("decimal(20,0)")).alias("mark"))
-    shaped = tokens.join(shape, ["leaf", "line"]).where(F.col("literals") >= F.lit(min_literal) * F.size("tokens")).select("leaf", "line", "texts", "at", "mark")
-    general = shaped.groupBy("leaf", "mark").agg(F.sum("texts").alias("total"), F.min("at").alias("first")).where(F.col("total") >= min_docs)
-    merged = shaped.join(general, ["leaf", "mark"]).select("line", F.xxhash64("leaf", "mark").alias("template"), F.col("total").alias("texts"), F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"))
+    shape = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("pos", "token").alias("h")))).alias("literals"))
+    shaped = tokens.join(shape, ["leaf", "line"]).where(F.size("literals") >= F.lit(min_literal) * F.size("tokens"))
+    shaped, _ = stored(shaped.select("leaf", "line", "texts", "at", "literals", _mark("literals").alias("mark")), "shaped")
+    # A template also covers lines that hold more literals than it: those of the leaf that agree with it wherever it is literal.
+    forms = shaped.groupBy("leaf", "mark").agg(F.min("literals").alias("literals"))
+    masks = forms.select("leaf", F.transform("literals", lambda x: x.pos).alias("held")).distinct()
+    within = F.filter("literals", lambda x: F.array_contains(F.col("held"), x.pos))
+    covers = forms.join(masks, "leaf").withColumn("within", within).where(F.size("within") == F.size("held")).select("leaf", "mark", _mark("within").alias("template"), F.size("held").alias("size"))
+    covers = covers.join(forms.select("leaf", F.col("mark").alias("template")), ["leaf", "template"], "left_semi")
+    covers, _ = stored(covers, "covers")
+    general = shaped.join(covers, ["leaf", "mark"]).groupBy("leaf", "template").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs)
+    # Every line goes to one template, the most general, so that first occurrences of templates never drop one another.
+    chosen = covers.join(general, ["leaf", "template"]).groupBy("leaf", "mark").agg(F.min(F.struct("size", "template", "total")).alias("best")).select("leaf", "mark", "best.template", "best.total")
+    taken = shaped.join(chosen, ["leaf", "mark"])
+    first = taken.groupBy("leaf", "template").agg(F.min("at").alias("first"))
+    merged = taken.join(first, ["leaf", "template"]).select("line", F.xxhash64("leaf", "template").alias("template"), F.col("total").alias("texts"), F.col("first.doc_id").alias("first_doc"), F.col("first.number").alias("first_number"))
+    merged, _ = stored(merged, "merged")
     alone = exact.select("line", F.col("line").alias("template"), "texts", F.col("at.doc_id").alias("first_doc"), F.col("at.number").alias("first_number"))
     return alone.join(merged.select("line"), "line", "left_anti").unionByName(merged)
 

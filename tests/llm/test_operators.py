@@ -300,6 +300,12 @@ def test_line_dedup_exact_lines_of_any_length(spark):
     assert dropped(spark, texts[:4]) == [0] * 4
 
 
+def test_line_dedup_rare_variants_of_a_frequent_line(spark):
+    names = ["bert", *["anna"] * 9, "carl", "dora"]
+    texts = [f"the user now called {n} has joined the channel\n{plain(9, i)}" for i, n in enumerate(names)]
+    assert dropped(spark, texts) == [0, *[1] * 11]
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     voc = {"aa": ["the", "and", "thing", "over", "with"], "bb": ["und", "nicht", "über", "schön", "ist"], "cc": ["ción", "para", "año", "ella", "los"]}
