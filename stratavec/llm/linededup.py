@@ -162,15 +162,28 @@ def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: flo
     lines, _ = stored(by_text.groupBy("leaf", "line", "long").agg(F.count(F.lit(1)).alias("texts"), F.min("at").alias("at")), "lines")
     exact = lines.where(F.col("texts") >= F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs))
     open_leaves = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("texts").alias("n"), F.count(F.lit(1)).alias("forms")).where((F.col("n") >= min_docs) & (F.col("forms") > 1)).select("leaf")
-    loose, _ = stored(lines.join(open_leaves, "leaf", "left_semi").select("leaf", "line", "texts", "at"), "loose")
+    # Texts with several lines of a leaf are kept apart, to count once wherever those lines agree; the others may be summed.
+    pairs = by_text.join(open_leaves, "leaf", "left_semi").select("leaf", "line", "text")
+    several = pairs.groupBy("leaf", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", "text")
+    crowd, _ = stored(pairs.join(several, ["leaf", "text"], "left_semi"), "crowd")
+    crowded = crowd.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
+    lone = (F.col("texts") - F.coalesce("n", F.lit(0))).alias("lone")
+    loose, _ = stored(lines.join(open_leaves, "leaf", "left_semi").join(crowded, ["leaf", "line"], "left").select("leaf", "line", lone, "at"), "loose")
+
+    def recurs(rows: DataFrame, keys: list[str], *columns) -> DataFrame:
+        """Keys that stand in min_docs distinct texts, with their number; rows: leaf, line, lone and what columns need."""
+        one = rows.select(*columns, F.col("lone").alias("n"))
+        many = crowd.join(rows, ["leaf", "line"]).select(*columns, "text").distinct().select(*keys, F.lit(1).cast("long").alias("n"))
+        return one.select(*keys, "n").unionByName(many).groupBy(*keys).agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs)
+
     tokens = token_rows(docs, loose.select(_slot("line")), min_tokens, min_literal).dropDuplicates(["line"]).join(loose, "line")
     tokens, _ = stored(tokens, "tokens")
-    each = tokens.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token"))
-    literal = each.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != F.lit(int(_FIELD)).cast("long"))).select("leaf", "pos", "token")
+    literal = recurs(tokens, ["leaf", "pos", "token"], "leaf", F.posexplode("tokens").alias("pos", "token"))
+    literal = literal.where(F.col("token") != F.lit(int(_FIELD)).cast("long")).select("leaf", "pos", "token")
     marked = tokens.select("leaf", "line", F.posexplode("tokens").alias("pos", "token")).join(literal, ["leaf", "pos", "token"])
     shape = marked.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("pos", F.xxhash64("pos", "token").alias("h")))).alias("literals"))
     shaped = tokens.join(shape, ["leaf", "line"]).where(F.size("literals") >= F.lit(min_literal) * F.size("tokens"))
-    shaped, _ = stored(shaped.select("leaf", "line", "texts", "at", "literals", _mark("literals").alias("mark")), "shaped")
+    shaped, _ = stored(shaped.select("leaf", "line", "lone", "at", "literals", _mark("literals").alias("mark")), "shaped")
     # A template also covers lines that hold more literals than it: those of the leaf that agree with it wherever it is literal.
     forms = shaped.groupBy("leaf", "mark").agg(F.min("literals").alias("literals"))
     masks = forms.select("leaf", F.transform("literals", lambda x: x.pos).alias("held")).distinct()
@@ -178,7 +191,7 @@ def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: flo
     covers = forms.join(masks, "leaf").withColumn("within", within).where(F.size("within") == F.size("held")).select("leaf", "mark", _mark("within").alias("template"), F.size("held").alias("size"))
     covers = covers.join(forms.select("leaf", F.col("mark").alias("template")), ["leaf", "template"], "left_semi")
     covers, _ = stored(covers, "covers")
-    general = shaped.join(covers, ["leaf", "mark"]).groupBy("leaf", "template").agg(F.sum("texts").alias("total")).where(F.col("total") >= min_docs)
+    general = recurs(shaped.join(covers, ["leaf", "mark"]), ["leaf", "template"], "leaf", "template")
     # Every line goes to one template, the most general, so that first occurrences of templates never drop one another.
     chosen = covers.join(general, ["leaf", "template"]).groupBy("leaf", "mark").agg(F.min(F.struct("size", "template", "total")).alias("best")).select("leaf", "mark", "best.template", "best.total")
     taken = shaped.join(chosen, ["leaf", "mark"])

@@ -306,6 +306,13 @@ def test_line_dedup_rare_variants_of_a_frequent_line(spark):
     assert dropped(spark, texts) == [0, *[1] * 11]
 
 
+def test_line_dedup_counts_texts_not_lines(spark):
+    things = ["lamp", "map", "cup", "rope", "coat"]
+    alone = "\n".join(f"please bring the old {x}" for x in things)
+    assert dropped(spark, [alone, plain(9, 1)]) == [0, 0]
+    assert dropped(spark, [alone, *(f"please bring the old {x}\n{plain(9, i)}" for i, x in enumerate(["hat", "pen", "ring", "bell"]))]) == [4, 1, 1, 1, 1]
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     voc = {"aa": ["the", "and", "thing", "over", "with"], "bb": ["und", "nicht", "über", "schön", "ist"], "cc": ["ción", "para", "año", "ella", "los"]}
