@@ -46,6 +46,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it, in upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write a table to the shared scratch folder and read it back: cuts lineage so that lost executors cost a re-read only.
 

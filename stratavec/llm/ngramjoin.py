@@ -1,21 +1,25 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 75 %.
 
-Sets are kept in one global order, rare shingles first (by a counting sketch of fixed size, then by hash). Documents
-with equal sets are one class. Two linked sets share shingles among the first 40 % of each, so only those prefixes are
-shuffled, by shingle; classes that share too few of them with others for any link are done, and as they leave, others
-may follow. Links are then found in two rounds:
-
-1. In a few turns, every class is compared with one leader of another component (one pair a class, not all pairs), and
-   links are contracted to components.
-2. Lists that still span several components, merged where they span the same ones, are cut into tiles of bounded size; in a tile, the ordered sets are stored
-   in a prefix tree, which each set traverses with partial overlaps, pruning subtrees whose remaining lengths cannot
-   reach the threshold. Pairs within the block's largest component are never compared.
-
-Both rounds compare whole sets exactly (64-bit shingle hashes), so no link between different texts is lost.
+Documents with equal sets are one class. A set can miss at most a quarter of its entries in any set that it links with,
+so a class goes as soon as more than that are in no other class: first judged on the entries of a fixed part of the hash
+range, then, for the few classes left, on all of them. What other classes have of a set is its core, kept in one global
+order, rare entries first. Sets that link share an entry among the first `size of core - 75 % of set + 1` of both cores.
+
+Every such entry names one of the classes that hold it, the one whose entries are the most common; a class joins the
+block of each class so named. Two classes that share an entry thus share a block, and no list of an entry is ever
+collected. Blocks are the parts of a prefix tree join: the cores of a block are stored as a prefix tree, all of them
+traverse it at once with partial overlaps that their common paths share, and a subtree is left by all whose overlap
+cannot reach the threshold with the remaining length. Classes already joined in the block are not compared. A block over
+`TILE` entries is cut into tiles that share its leader; only classes that do not join the leader's are compared across
+tiles. Both are exact on 64-bit shingle hashes, so no link between different texts is lost.
+
+Entries that are far more frequent than most (by a counting sketch of fixed size) count as shared without being looked
+up, and are dealt by entry and class, so a hot entry never meets in one task.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and are linked with nothing (their
 component is their own doc_id); fewer than five words are one shingle; repeated rows and exact copies share a component;
-a component of null ids only is null; an empty table gives an empty result; extra columns are ignored.
+a component of null ids only is null; an empty table gives an empty result; extra columns are ignored, and the pipeline's
+stage keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,21 +30,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import arrow_rows, bitmap, drop_path, hit, slot, stored, table
+from stratavec.llm.common import arrow_rows, bitmap, drop_path, hit, slot, stored, table, unused
 from stratavec.llm.graph import components
 from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices, windows
 
 WORDS = 5
 PERCENT = 75
-EXTRA = 15
-#: Counters of the sketch behind the global order, and counters a block; fixed, so what is broadcast never grows.
+#: Shingles below this hash are the part that is judged first: 35 % of all, so that a quarter of a set is nearly always less.
+SAMPLED = np.uint64(int(0.35 * 2**64))
+#: Counters of the sketch that finds hot entries, and counters a block; fixed, so what is broadcast never grows.
 SKETCH = 1 << 21
 BLOCK = 1 << 16
-#: Members of a tile in round 2.
-TILE = 512
+#: Entries of all cores of a tile: 8 MB.
+TILE = 1 << 20
+#: Parts that the rows of a hot entry or of a large block are dealt to.
+SALTS = 32
 _MASK = np.uint64(SKETCH - 1)
 
 
@@ -68,40 +75,52 @@ def class_key(found: np.ndarray) -> int:
     return int((mix(mix(found ^ MULTIPLIERS[50]).sum(keepdims=True) + np.uint64(len(found)))).view(np.int64)[0])
 
 
-def prefix_size(n: int) -> int:
-    """Entries of an ordered set that are shuffled: the n - ceil(0.75 n) + 1 that a link needs one of, and `EXTRA` % more.
+def needed(n, m):
+    """Least intersection of sets of n and m entries that links them: 100 i >= 75 (n + m - i)."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
 
-    With the extra ones, a linked set shares not one but at least `shared_least(n)` of them with its partner: if x's last
-    entry here comes first, all of the intersection lies within both or in what x has beyond, which is 60 % of x or y.
-    """
-    return n - -(-PERCENT * n // 100) + 1 + EXTRA * n // 100
 
+#: SQL for the entries of a set of n that any set it links with must have.
+LEAST = f"(({PERCENT} * n + 99) DIV 100)"
 
-#: SQL for the least number of shuffled entries that a set of n has in common with any set it links with. An intersection
-#: of 3/7 (n + m) less at most 0.6 max(n, m) + 1 beyond the prefixes is least for m = 0.75 n: 0.15 n, less rounding.
-SHARED_LEAST = "greatest(1, CAST(floor(0.15D * n) AS INT) - 2)"
 
+class _Fresh:
+    """Classes that a task meets for the first time, as far as it remembers."""
 
-def needed(n: int, m: int) -> int:
-    """Least intersection of sets of n and m entries that links them: 100 i >= 75 (n + m - i)."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        if len(self.seen) > 500_000:
+            self.seen = set()
+        for found in sets_of(column):
+            if len(found) and (cls := class_key(found)) not in self.seen:
+                self.seen.add(cls)
+                yield cls, found
 
 
 def _survey(batches):
-    """Kind 0: a row a document (set size and class). Kind 1: this task's sketch, in blocks."""
+    """Kind 0: a row a document (set size, entries of the sampled part, class). Kind 1: this task's sketch, in blocks."""
     counts = np.zeros(SKETCH, np.uint32)
+    seen: set[int] = set()
     task = TaskContext.get().partitionId()
-    names = ["kind", "doc_id", "n", "cls", "block", "part", "data"]
+    names = ["kind", "doc_id", "n", "sampled", "cls", "block", "part", "data"]
     for whole in batches:
         for batch in slices(whole, "text"):
             found = sets_of(batch.column("text"))
-            if found:
-                counts += np.bincount((np.concatenate(found) & _MASK).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            classes = [class_key(x) if len(x) else None for x in found]
+            new = {cls: x for cls, x in zip(classes, found, strict=True) if cls is not None and cls not in seen}
+            if len(seen) > 500_000:
+                seen = set()
+            seen.update(new)
+            if new:
+                counts += np.bincount((np.concatenate(list(new.values())) & _MASK).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([class_key(x) if len(x) else None for x in found], pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+            sampled = [int(np.searchsorted(x, SAMPLED)) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(sampled, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
     blocks = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, BLOCK)]
     size = len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.array([1] * size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(range(size), pa.int32()), pa.array([task % 256] * size, pa.int32()), pa.array(blocks, pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array([1] * size, pa.int32()), *(pa.nulls(size, pa.int64()) for _ in range(4)), pa.array(range(size), pa.int32()), pa.array([task % 256] * size, pa.int32()), pa.array(blocks, pa.binary())], names)
 
 
 def _add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
@@ -113,390 +132,343 @@ def _add(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 
 
 def levels(surveyed: DataFrame) -> np.ndarray:
-    """Per counter of the sketch, 0 for ordinary counts, and one more for each doubling beyond."""
+    """Per counter of the sketch, 0 for ordinary counts, and one more (up to 7) for each doubling beyond."""
     parts = surveyed.where("kind = 1").select("block", "part", "data").groupBy("block", "part").applyInArrow(_add, "block int, data binary")
     rows = parts.groupBy("block").applyInArrow(_add, "block int, data binary").collect()
     counts = np.zeros(SKETCH)
     for r in rows:
         counts[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.data), np.uint64)
-    return np.clip(np.floor(np.log2((counts + 1) / (2 * counts.mean() + 4))), 0, 15).astype(np.uint8)
+    return np.clip(np.floor(np.log2((counts + 1) / (2 * counts.mean() + 4))), 0, 7).astype(np.uint8)
+
 
+def _whole_tokens(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From rows sorted by token, then class: distinct (token, class), and in how many classes the token is; all of a token at once."""
 
-def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The set in the global order, as numbers that sort in it."""
-    return np.sort((level[(found & _MASK).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (found >> np.uint64(4)))
+    def counted(token, cls):
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls = token[new], cls[new]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        many = np.diff(np.append(first, len(token)))
+        return token, cls, np.repeat(many, many)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        token, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls"))
+        if not len(token):
+            continue
+        cut = int(np.searchsorted(token, token[-1]))
+        if held and held[0][0][0] == token[-1]:
+            held.append((token, cls))
+            continue
+        done = [*held, (token[:cut], cls[:cut])]
+        token_, cls_ = (np.concatenate([x[i] for x in done]) for i in range(2))
+        if len(token_):
+            yield counted(token_, cls_)
+        held = [(token[cut:], cls[cut:])]
+    if held:
+        yield counted(*(np.concatenate([x[i] for x in held]) for i in range(2)))
 
 
-def prefixes(docs: DataFrame, level) -> DataFrame:
-    """(token, cls, n) for the prefix of every set; exact copies within a task give their rows once."""
+def sampled_rows(docs: DataFrame, level) -> DataFrame:
+    """(token, cls) for the sampled part of every set; hot entries of a class are one row of an even token that counts them."""
 
     def run(batches):
-        seen: set[int] = set()
+        fresh = _Fresh()
         for whole in batches:
             for batch in slices(whole, "text"):
-                tokens, classes, sizes = [], [], []
-                if len(seen) > 1_000_000:
-                    seen = set()
-                for found in sets_of(batch.column("text")):
-                    if not len(found) or (cls := class_key(found)) in seen:
-                        continue
-                    seen.add(cls)
-                    got = ordered(found, level.value)[: prefix_size(len(found))]
+                tokens, classes = [], []
+                for cls, found in fresh(batch.column("text")):
+                    part = found[: np.searchsorted(found, SAMPLED)]
+                    hot = level.value[(part & _MASK).astype(np.int64)] > 0
+                    got = part[~hot] | np.uint64(1)
+                    if many := int(hot.sum()):
+                        own = (cls * 0x9E3779B97F4A7C15) % 2**64
+                        got = np.append(got, np.uint64(own >> 32 << 32 | min(many, 2**31 - 1) << 1))
                     tokens.append(got)
                     classes.append(np.full(len(got), cls))
-                    sizes.append(np.full(len(got), len(found), np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))], ["token", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "token long, cls long")
 
 
-def _lists(batches) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token: the distinct lists of two classes or more, with set sizes and how many tokens have each."""
-    made: dict[bytes, list] = {}
-    held: list[tuple[np.ndarray, ...]] = []
-    weight = 0
+def _shared(batches):
+    """(cls, shared): how many of a class's sampled entries other classes have, or are hot; partial sums."""
+    for token, cls, many in _whole_tokens(batches):
+        worth = np.where(token & 1, many > 1, (token & 0xFFFFFFFF) >> 1)
+        own, at = np.unique(cls[worth > 0], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, worth[worth > 0], len(own)).astype(np.int64))], ["cls", "shared"])
 
-    def take(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> None:
-        nonlocal weight
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, n = token[new], cls[new], n[new]
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        last = np.concatenate((first[1:], [len(token)]))
-        for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-            key = cls[a:b].tobytes()
-            if key in made:
-                made[key][2] += 1
-            else:
-                made[key] = [cls[a:b], n[a:b], 1]
-                weight += b - a + 8
-
-    def flush() -> pa.RecordBatch:
-        nonlocal made, weight
-        rows, made, weight = list(made.values()), {}, 0
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64())], ["members", "sizes", "tokens"])
 
-    for batch in batches:
-        token, cls, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls", "n"))
-        if not len(token):
-            continue
-        if held and held[0][0][0] == token[-1]:
-            held.append((token, cls, n))
-            continue
-        cut = int(np.searchsorted(token, token[-1]))
-        take(*(np.concatenate((*(h[i] for h in held), x[:cut])) for i, x in enumerate((token, cls, n))))
-        held = [(token[cut:], cls[cut:], n[cut:])]
-        if weight > 4_000_000:
-            yield flush()
-    if held:
-        take(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-    if made:
-        yield flush()
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(cls, n, sampled, rep, copies): equal sets, and the smallest doc_id that has them."""
+    return rows.where("cls IS NOT NULL").groupBy("cls", "n", "sampled").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-#: Leaders that a class is compared with before the tiles.
-TURNS = 2
-#: Rounds in which classes with too few shared tokens leave the lists.
-PEELS = 2
+def live_classes(docs: DataFrame, level, classes: DataFrame) -> DataFrame:
+    """(cls, n, rep) of the classes that the sampled part does not rule out."""
+    shared = sampled_rows(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared, "cls long, shared long")
+    counted = shared.groupBy("cls").agg(F.sum("shared").alias("shared"))
+    return classes.join(counted, "cls", "left").where(f"sampled - coalesce(shared, 0) <= n - {LEAST}").select("cls", "n", "rep")
 
 
-def peeled(lists: DataFrame) -> DataFrame:
-    """lists (members, sizes, tokens) without the classes that share too few tokens for any link, and without lists of one."""
-    for i in range(PEELS):
-        rows = lists.select(F.xxhash64("members").alias("list"), "tokens", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("list", "tokens", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
-        shared = rows.groupBy("cls", "n").agg(F.sum("tokens").alias("shared")).where(f"shared >= {SHARED_LEAST}").select("cls")
-        kept = rows.join(shared, "cls").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("m"), F.first("tokens").alias("tokens")).where("size(m) > 1")
-        lists, _ = stored(_merged(kept.select(F.col("m.cls").alias("members"), F.col("m.n").alias("sizes"), "tokens")), f"peeled{i}")
-    return lists
+_HOT = 1 << 60
+_LOW = (1 << 60) - 1
 
 
-def _merged(lists: DataFrame) -> DataFrame:
-    """Equal lists as one, their tokens added up."""
-    return lists.groupBy("members").agg(F.first("sizes").alias("sizes"), F.sum("tokens").alias("tokens"))
+def full_rows(docs: DataFrame, level, live: DataFrame) -> DataFrame:
+    """(token, cls) of whole sets of the documents in live (and of some others: a fixed-size bitmap of ids picks them).
 
-
-def full_sets(docs: DataFrame, level, reps: DataFrame) -> DataFrame:
-    """(cls, n, data) of the documents in reps (cls, rep); a fixed-size bitmap of their ids spares most others the shuffle."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap(reps.select(slot("rep").alias("slot"))))
+    A token holds the level of its counter in its upper bits.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(live.select(slot("rep").alias("slot"))))
 
     def run(batches):
+        fresh = _Fresh()
         for whole in batches:
             keep = hit(bits.value, whole.column("slot").to_numpy(zero_copy_only=False))
             for batch in slices(whole.filter(pa.array(keep)), "text"):
-                found = sets_of(batch.column("text"))
-                full = [i for i, x in enumerate(found) if len(x)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(full, pa.int64())), pa.array([class_key(found[i]) for i in full], pa.int64()), pa.array([ordered(found[i], level.value).tobytes() for i in full], pa.binary())], ["doc_id", "cls", "data"])
+                tokens, classes = [], []
+                for cls, found in fresh(batch.column("text")):
+                    tokens.append((level.value[(found & _MASK).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (found >> np.uint64(4)))
+                    classes.append(np.full(len(found), cls))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "cls"])
 
-    made = docs.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, cls long, data binary")
-    return made.join(reps, "cls").where("doc_id <=> rep").select("cls", "data")
+    return docs.select("text", slot("doc_id").alias("slot")).mapInArrow(run, "token long, cls long")
 
 
-def _compare(batches):
-    """Pairs (a, b, x, y) with both sets: those that link."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(min(len(x), len(y)) >= (need := needed(len(x), len(y))) and len(np.intersect1d(x, y, assume_unique=True)) >= need)
-        got = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([got.column("a"), got.column("b")], ["a", "b"])
+def _ranked(batches):
+    """(cls, entry) for entries that other classes have or that are hot; entries sort rare first, in one order for all."""
+    for token, cls, many in _whole_tokens(batches):
+        hot = token >= _HOT
+        keep = hot | (many > 1)
+        rarity = np.where(hot, 7 + (token >> 60), np.minimum(7, np.ceil(np.log2(np.maximum(many, 2))).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(((rarity << 59) | ((token & _LOW) >> 1))[keep])], ["cls", "entry"])
+
+
+def cores_of(docs: DataFrame, level, live: DataFrame) -> DataFrame:
+    """(cls, n, core, rank): the entries that other classes have, of the classes that have enough of them to link; rank leads blocks."""
+    token = F.col("token")
+    dealt = F.when(token < _HOT, token).otherwise(F.xxhash64("token", "cls"))
+    ranked = full_rows(docs, level, live).repartition(dealt).sortWithinPartitions("token", "cls").mapInArrow(_ranked, "cls long, entry long")
+    cores = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("entry")).alias("core")).join(live.select("cls", "n"), "cls").where(f"size(core) >= {LEAST}")
+    common = F.aggregate("core", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), F.shiftright(x, 59)))
+    rank = F.floor(common / F.col("n") * 1000) * F.lit(1 << 32) + F.col("cls").bitwiseAND(F.lit(0xFFFFFFFF))
+    return cores.select("cls", "n", "core", rank.cast("long").alias("rank"))
+
+
+def _salt(hot: Column) -> Column:
+    return F.when(hot, F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+
+
+def _salts(hot: Column) -> Column:
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+
+
+def blocks_of(cores: DataFrame) -> DataFrame:
+    """(block, cls, weight): the classes that share an entry of their prefixes with the class that block is named after."""
+    hot = F.col("entry") >= F.lit(8 << 59)
+    entries = cores.select("cls", "rank", F.size("core").alias("weight"), F.explode(F.expr(f"slice(core, 1, CAST(size(core) - {LEAST} + 1 AS INT))")).alias("entry"))
+    leaders = entries.groupBy("entry").agg(F.max_by("cls", "rank").alias("block"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    joined = entries.select("cls", "weight", "entry", _salt(hot)).join(leaders.select("entry", "block", _salts(hot)), ["entry", "salt"])
+    return joined.select("block", "cls", "weight").distinct()
 
 
 class PrefixTree:
-    """A path-compressed trie of globally ordered sets.
+    """A prefix tree over sorted sets, held as their lexicographic order and the lengths of common prefixes of neighbours.
 
-    The sets may lack entries that no other set of the tile has; sizes are then those of the whole sets.
+    sizes are those of the whole sets, which may have entries beyond the ones given here.
     """
 
-    class Node:
-        __slots__ = ("children", "deepest", "items", "least", "most", "segment")
-
-    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
-        self.sets, self.sizes = sets, sizes or [len(s) for s in sets]
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = self._build(0, len(self.order), 0)
-
-    def _build(self, lo: int, hi: int, depth: int) -> Node:
-        node, own = self.Node(), [self.sets[i] for i in self.order[lo:hi]]
-        a, b = own[0][depth:], own[-1][depth:]
-        k = min(len(a), len(b))
-        differ = np.flatnonzero(a[:k] != b[:k])
-        common = int(differ[0]) if len(differ) else k
-        node.segment, depth = a[:common], depth + common
-        sizes = [self.sizes[i] for i in self.order[lo:hi]]
-        node.least, node.most, node.deepest, node.items, node.children = min(sizes), max(sizes), max(map(len, own)), [], []
-        at = lo
-        while at < hi and len(self.sets[self.order[at]]) == depth:
-            node.items.append(self.order[at])
-            at += 1
-        while at < hi:
-            head, end = self.sets[self.order[at]][depth], at + 1
-            while end < hi and self.sets[self.order[end]][depth] == head:
-                end += 1
-            node.children.append(self._build(at, end, depth) if end - at > 1 else self._leaf(at, depth))
-            at = end
-        return node
-
-    def _leaf(self, at: int, depth: int) -> Node:
-        node, i = self.Node(), self.order[at]
-        node.segment, node.items, node.children = self.sets[i][depth:], [i], []
-        node.least = node.most = self.sizes[i]
-        node.deepest = len(self.sets[i])
-        return node
-
-    def search(self, probe: np.ndarray, size: int, least: int = 0) -> Iterator[int]:
-        """Sets of at least `least` entries that link with the probe, whose whole set has `size` entries.
-
-        A subtree is left as soon as the overlap so far and what remains cannot suffice.
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sizes, self.lens = np.asarray(sizes, np.int64), np.array([len(x) for x in sets], np.int64)
+        m, flat = len(sets), np.concatenate(sets)
+        owner = np.repeat(np.arange(m, dtype=np.int32), self.lens)
+        order = np.argsort(flat, kind="stable")
+        new = np.concatenate(([True], np.diff(flat[order]) != 0))
+        code = np.empty(len(flat), np.int32)
+        code[order] = np.cumsum(new) - 1
+        self.owners, self.begin = owner[order], np.append(np.flatnonzero(new), len(flat))
+        ends = np.cumsum(self.lens)
+        self.sets = [code[e - n : e] for e, n in zip(ends, self.lens, strict=True)]
+        self.lex = np.array(sorted(range(m), key=lambda i: self.sets[i].astype(">i4").tobytes()), np.int64)
+        self.common = np.zeros(m, np.int64)
+        for i in range(1, m):
+            a, b = self.sets[self.lex[i - 1]], self.sets[self.lex[i]]
+            k = min(len(a), len(b))
+            differ = np.flatnonzero(a[:k] != b[:k])
+            self.common[i] = differ[0] if len(differ) else k
+
+    def overlaps(self, part: np.ndarray) -> np.ndarray:
+        """For every set, how many of these entries it has."""
+        lists = [self.owners[self.begin[t] : self.begin[t + 1]] for t in part]
+        return np.bincount(np.concatenate(lists), minlength=len(self.sets))
+
+    def join(self, label: np.ndarray, lead: int | None = None) -> np.ndarray:
+        """Labels of the sets after all links between sets of different labels; linked sets have the same label.
+
+        Every set traverses the tree, all at once; lead (if given) is compared with all others before that. Of a pair,
+        the larger set finds the smaller one.
         """
-        n, stack = len(probe), [(self.root, 0, 0)]
-        if not n:
-            return
+        label, every = label.copy(), np.arange(len(self.sets))
+        if lead is not None:
+            got = self.overlaps(self.sets[lead]) >= needed(self.sizes, self.sizes[lead])
+            label[np.isin(label, label[got])] = label[lead]
+        stack = [(0, len(every), 0, every, np.zeros(len(every), np.int64))]
         while stack:
-            node, depth, overlap = stack.pop()
-            need = needed(size, max(node.least, least))
-            if node.most < least or min(n, node.deepest) < need:
-                continue
-            seen = 0
-            for at in range(0, len(node.segment), 64):
-                part = node.segment[at : at + 64]
-                place = np.searchsorted(probe, part)
-                overlap += int((probe[np.minimum(place, n - 1)] == part).sum())
-                depth += len(part)
-                seen = int(np.searchsorted(probe, part[-1], "right"))
-                if overlap + min(n - seen, node.deepest - depth) < need:
+            lo, hi, depth, probes, overlap = stack.pop()
+            own = self.lex[lo:hi]
+            names = label[own]
+            least, deepest = self.sizes[own].min(), self.lens[own].max()
+            keep = self.sizes[probes] >= least
+            if (names == names[0]).all():
+                keep &= label[probes] != names[0]
+            probes, overlap = probes[keep], overlap[keep]
+            need = needed(self.sizes[probes], least)
+            end = int(self.common[lo + 1 : hi].min()) if hi - lo > 1 else int(self.lens[own[0]])
+            while True:
+                keep = overlap + np.minimum(deepest - depth, self.lens[probes] - overlap) >= need
+                probes, overlap, need = probes[keep], overlap[keep], need[keep]
+                if depth == end or not len(probes):
                     break
-            else:
-                for i in node.items:
-                    if self.sizes[i] >= least and overlap >= needed(size, self.sizes[i]):
-                        yield i
-                stack.extend((child, depth, overlap) for child in node.children)
+                part = self.sets[own[0]][depth : min(depth + 64, end)]
+                overlap = overlap + self.overlaps(part)[probes]
+                depth += len(part)
+            if not len(probes):
+                continue
+            at = lo
+            while at < hi and self.lens[self.lex[at]] == end:
+                i = self.lex[at]
+                got = probes[(overlap >= needed(self.sizes[probes], self.sizes[i])) & (label[probes] != label[i]) & (self.sizes[probes] >= self.sizes[i])]
+                if len(got):
+                    label[np.isin(label, label[got])] = label[i]
+                at += 1
+            cuts = [at, *(np.flatnonzero(self.common[at + 1 : hi] == end) + at + 1), hi] if at < hi else []
+            stack.extend((int(a), int(b), end, probes, overlap) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        return label
 
 
-def shared_only(sets: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
-    """The sets that can link with another one here, and all sets without entries that no other of those has.
+def _joined(part: pa.Table, joined: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a tile and a label each (the place of one of them); sets already joined start with one label."""
+    cls, first = np.unique(part.column("cls").to_numpy(), return_index=True)
+    sets = [np.asarray(part.column("core")[i].values) for i in first.tolist()]
+    tree = PrefixTree(sets, part.column("n").to_numpy()[first])
+    label, lead = np.arange(len(cls)), np.flatnonzero(cls == part.column("block")[0].as_py())
+    if joined is not None and joined[first].any():
+        label[joined[first]] = np.flatnonzero(joined[first])[0]
+    return cls, tree.join(label, int(lead[0]) if len(lead) else None)
 
-    A set links only if at least 75 % of its entries are in another one; as sets leave, others may follow.
-    """
-    live, left = list(range(len(sets))), list(sets)
-    for _ in range(3):
-        if not live:
-            break
-        entries, many = np.unique(np.concatenate([left[i] for i in live]), return_counts=True)
-        common = entries[many > 1]
-        for i in live:
-            place = np.searchsorted(common, left[i])
-            left[i] = left[i][(common[np.minimum(place, len(common) - 1)] == left[i])] if len(common) else left[i][:0]
-        stay = [i for i in live if 100 * len(left[i]) >= PERCENT * len(sets[i])]
-        if len(stay) == len(live):
-            break
-        live = stay
-    return live, left
+
+_LINKS = "a long, b long, block long, loose boolean"
+
+
+def _links(cls: np.ndarray, label: np.ndarray, block: int, lead: int | None) -> pa.Table:
+    """Each class with the one its label names; loose: it is not joined with the block's leader."""
+    loose = np.ones(len(cls), bool) if lead is None else label != label[lead]
+    return pa.table({"a": pa.array(cls[label]), "b": pa.array(cls), "block": pa.array(np.full(len(cls), block)), "loose": pa.array(loose)})
 
 
 def _tile(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-    """Links of one tile that join components. Trees hold the sets of one side; those that are not of the block's largest
-    component traverse them, so no pair within that component is compared."""
-    cls, comp, side, big = (part.column(c).to_pylist() for c in ("cls", "comp", "side", "big"))
-    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("data")]
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    links, size = [], [len(x) for x in data]
-    live, data = shared_only(data)
-    open_ = len({comp[i] for i in live})
-
-    def cross(stored_: list[int], probes: list[int], larger: bool = False) -> None:
-        nonlocal open_
-        tree = PrefixTree([data[i] for i in stored_], [size[i] for i in stored_]) if stored_ and probes and open_ > 1 else None
-        for j in probes if tree else ():
-            for k in tree.search(data[j], size[j], size[j] if larger else 0):
-                a, b = top(comp[stored_[k]]), top(comp[j])
-                if a != b:
-                    parent[a] = b
-                    links.append((cls[stored_[k]], cls[j]))
-                    open_ -= 1
-            if open_ == 1:
-                return
-
-    every = live
-    if side and side[0] == 0:
-        loose = [i for i in every if not big[i]]
-        cross([i for i in every if big[i]], loose)
-        cross(loose, loose, larger=True)
-    else:
-        one, two = ([i for i in every if side[i] == s] for s in (1, 2))
-        cross(one, [i for i in two if not big[i]])
-        cross([i for i in two if big[i]], [i for i in one if not big[i]])
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-
-def tiles(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """(block, cls, comp, side, big) for the lists that still span components. side 0: the tile with itself; 1 and 2: two tiles.
-
-    Lists that span the same components make one block, and join the block of the widest list that spans theirs and more. Of its largest component (big) only sets whose size allows a link
-    with another member's are kept. Members are sorted by set size; tiles too far apart in size are not paired.
-    """
-    rows = lists.select(F.xxhash64("members").alias("list"), F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("list", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
-    rows = rows.join(joined.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    spans = rows.groupBy("list").agg(F.array_sort(F.collect_set("comp")).alias("comps")).where("size(comps) > 1").withColumn("block", F.xxhash64("comps"))
-    members = rows.join(widest(spans), "list").select("block", "cls", "comp", "n").distinct()
-    sizes = members.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    largest = sizes.groupBy("block").agg(F.max_by("comp", F.struct("many", "comp")).alias("top"))
-    others = sizes.join(largest, "block").where("comp <> top").groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    flagged = members.join(largest, "block").join(others, "block").withColumn("big", F.col("comp") == F.col("top"))
-    flagged = flagged.where(f"NOT big OR (100 * n >= {PERCENT} * lo AND {PERCENT} * n <= 100 * hi)")
-    by_block = flagged.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "cls", "comp", "big"))).alias("m"))
+    cls, label = _joined(part, None)
+    block = key[0].as_py()
+    return _links(cls, label, block, int(np.flatnonzero(cls == block)[0]))
 
-    def run(batches):
-        for batch in batches:
-            for name, members in zip(batch.column("block").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                cut = [members[i : i + TILE] for i in range(0, len(members), TILE)]
-                loose = [any(not r["big"] for r in x) for x in cut]
-                held: list[tuple] = []
-                for i, x in enumerate(cut):
-                    for j in range(i, len(cut)):
-                        y = cut[j]
-                        if 100 * x[-1]["n"] < PERCENT * y[0]["n"]:
-                            break
-                        if loose[i] or loose[j]:
-                            for own, s in ((x, 0),) if i == j else ((x, 1), (y, 2)):
-                                held += [(f"{name}:{i}:{j}", r["cls"], r["comp"], s, r["big"]) for r in own]
-                        if len(held) > 50_000:
-                            yield _tile_rows(held)
-                            held = []
-                if held:
-                    yield _tile_rows(held)
-
-    return by_block.mapInArrow(run, "block string, cls long, comp long, side int, big boolean")
-
-
-def widest(spans: DataFrame) -> DataFrame:
-    """(list, block) from (list, comps, block): the block of the largest set of components that holds the list's own.
-
-    A superset also holds the component of the set that is in the fewest sets, so only sets with that one are looked at.
-    """
-    sets, _ = stored(spans.select("block", "comps").dropDuplicates(["block"]), "spans")
-    each = sets.select("block", F.explode("comps").alias("comp"))
-    rare = each.join(each.groupBy("comp").agg(F.count(F.lit(1)).alias("many")), "comp").groupBy("block").agg(F.min_by("comp", F.struct("many", "comp")).alias("comp"))
-    small = sets.join(rare, "block")
-    large = sets.select(F.col("block").alias("wide"), F.col("comps").alias("more"), F.explode("comps").alias("comp"))
-    over = small.join(large, "comp").where("size(more) >= size(comps) AND size(array_except(comps, more)) = 0")
-    best = over.groupBy("block").agg(F.max_by("wide", F.struct(F.size("more"), "wide")).alias("wide"))
-    return spans.select("list", "block").join(best, "block").select("list", F.col("wide").alias("block"))
-
-
-def _tile_rows(held: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], ["block", "cls", "comp", "side", "big"])
-
-
-def leaders(lists: DataFrame, turn: int, joined: DataFrame | None) -> DataFrame:
-    """(a, b): for each class b one class a of another component, by most shared tokens. Each list proposes one of its classes,
-    first its smallest, then others."""
-    at = F.pmod(F.xxhash64("members", F.lit(turn)), F.size("members")).cast("int") if turn else F.lit(0)
-    pairs = lists.select(F.get("members", at).alias("a"), F.get("sizes", at).alias("n"), "tokens", F.explode(F.arrays_zip("members", "sizes")).alias("x"))
-    pairs = pairs.select("a", F.col("x.members").alias("b"), "n", F.col("x.sizes").alias("m"), "tokens").where(f"a <> b AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("tokens").alias("many"))
-    if joined is not None:
-        for side in ("a", "b"):
-            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")), side, "left")
-        pairs = pairs.where("coalesce(a_in, a) <> coalesce(b_in, b)")
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("many", "a")).alias("a")).select("a", "b")
+
+def _cross(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """Links of some loose classes of a block with the classes of one of its tiles, whose others are joined already."""
+    cls, label = _joined(part, ~part.column("loose").to_numpy())
+    return _links(cls, label, key[0].as_py(), None)
+
+
+def _tiles(weight: Column) -> Column:
+    return F.ceil(weight / TILE).cast("int")
+
+
+def _tile_of(count: str) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(7)), F.col(count)).cast("int")
+
+
+def links_of(cores: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b): links that join all classes which links within any block join."""
+    sets = cores.select("cls", "n", "core")
+    large = blocks.groupBy("block").agg(F.sum("weight").alias("total")).where(F.col("total") > TILE).select("block", _tiles(F.col("total")).alias("tiles"))
+    large, _ = stored(large, "large")
+    some = large.limit(1).count() > 0
+    members = blocks.select("block", "cls", F.lit(0).alias("tile"))
+    if some:
+        dealt = blocks.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(large.select("block", "tiles", _salts(F.lit(True))), ["block", "salt"], "left")
+        own = F.when(F.col("tiles").isNull(), F.array(F.lit(0))).when(F.col("cls") == F.col("block"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(_tile_of("tiles")))
+        members, _ = stored(dealt.select("block", "cls", F.explode(own).alias("tile")), "members")
+    found, _ = stored(members.join(sets, "cls").groupBy("block", "tile").applyInArrow(_tile, _LINKS), "links")
+    links = found.where("a <> b").select("a", "b")
+    if some:
+        loose = found.join(large.select("block").distinct(), "block", "left_semi").where("loose").select("block", F.col("b").alias("cls")).distinct()
+        parts = loose.join(blocks, ["block", "cls"]).groupBy("block").agg(_tiles(F.sum("weight")).alias("parts")).join(large, "block")
+        one = loose.join(parts, "block").select("block", "cls", _tile_of("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(True).alias("loose"))
+        flagged = members.join(loose.withColumn("loose", F.lit(True)), ["block", "cls"], "left").withColumn("loose", F.coalesce("loose", F.lit(False)))
+        two = flagged.join(parts, "block").select("block", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tile", "loose")
+        more, _ = stored(one.unionByName(two).join(sets, "cls").groupBy("block", "part", "tile").applyInArrow(_cross, _LINKS), "links")
+        links = links.union(more.where("a <> b").select("a", "b"))
+    return links
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (class of equal sets), component_id."""
     spark = docs.sparkSession
     with arrow_rows(spark, 2000):
-        surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, cls long, block int, part int, data binary"), "survey")
-    level = spark.sparkContext.broadcast(levels(surveyed))
-    rows = surveyed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    found = prefixes(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_lists, "members array<long>, sizes array<int>, tokens long")
-    listed, lists_path = stored(found, "lists")
-    lists = peeled(_merged(listed))
-    classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    near = lists.select(F.explode("members").alias("cls")).distinct()
-    reps, reps_path = stored(classes.join(near, "cls"), "reps")
-    with arrow_rows(spark, 256):
-        sets, sets_path = stored(full_sets(docs, level, reps), "sets")
-        links, joined, used = None, None, [lists_path, sets_path]
-        for turn in range(TURNS):
-            pairs = leaders(lists, turn, joined)
-            both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-            found, path = stored(both.mapInArrow(_compare, "a long, b long"), "links")
-            links = found if links is None else links.union(found)
-            joined, _ = stored(components(links), "joined")
-            used.append(path)
-    open_tiles, tiles_path = stored(tiles(lists, joined), "tiles")
-    more, more_path = stored(open_tiles.join(sets, "cls").groupBy("block").applyInArrow(_tile, "a long, b long"), "links")
-    final, _ = stored(components(links.union(more)), "final")
-    for path in (*used, tiles_path, more_path):
+        surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, sampled long, cls long, block int, part int, data binary"), "survey")
+        level = spark.sparkContext.broadcast(levels(surveyed))
+        rows = surveyed.where("kind = 0").select("doc_id", "n", "sampled", "cls")
+        classes, classes_path = stored(classes_of(rows), "classes")
+        live, live_path = stored(live_classes(docs, level, classes), "live")
+        cores, cores_path = stored(cores_of(docs, level, live), "cores")
+        blocks, blocks_path = stored(blocks_of(cores), "blocks")
+        final, _ = stored(components(links_of(cores, blocks)), "final")
+    for path in (live_path, cores_path, blocks_path):
         drop_path(spark, path)
-    tops = classes.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("top"))
+    tops = classes.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").where("copies > 1 OR component IS NOT NULL").select("cls", "rep", "copies", F.coalesce("component", "cls").alias("top"))
     least = tops.groupBy("top").agg(F.min("rep").alias("component_id"))
-    named = tops.join(least, "top").select("cls", "component_id")
-    return rows.join(named, "cls", "left").select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named, _ = stored(tops.join(least, "top").select("cls", "copies", "component_id"), "named")
+    # At most 1,000 classes can each hold a thousandth of all rows; only their rows could crowd a task, and rows without a class.
+    known = named.select("cls", "component_id")
+    hot = named.where(F.col("copies") * 1000 >= max(1, rows.count())).select("cls", "component_id")
+    some = rows.where("cls IS NOT NULL")
+    few = some.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(known, "cls", "left")
+    many = some.join(F.broadcast(hot), "cls")
+    none = rows.where("cls IS NULL").withColumn("component_id", F.lit(None).cast("long"))
+    every = few.unionByName(many).unionByName(none)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _screened(docs: DataFrame, bits, wanted: bool) -> DataFrame:
+    """The rows whose id is (or is not) in a bitmap of ids."""
+    columns, (at,) = docs.columns, unused(docs.columns, "slot")
+
+    def run(batches):
+        for batch in batches:
+            keep = hit(bits.value, batch.column(at).to_numpy(zero_copy_only=False)) == wanted
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    return docs.select(*columns, slot("doc_id").alias(at)).mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays, once; documents with an empty set, and
-    different texts of components without an id, all stay."""
-    columns = docs.columns
-    kept = join_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    single = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return single.dropDuplicates(["doc_id", "text"]).select(*columns)
+    different texts of components without an id, all stay. Only rows of ids that go or repeat (by a fixed-size bitmap)
+    are shuffled."""
+    joined = join_components(docs)
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    (key, kept) = unused(docs.columns, "stage_id", "stage_kept")
+    ids, _ = stored(joined.groupBy("doc_id").agg(stays.alias(kept), F.count(F.lit(1)).alias("many")).where(f"NOT {kept} OR many > 1").select(F.col("doc_id").alias(key), kept), "ids")
+    bits = spark.sparkContext.broadcast(bitmap(ids.select(slot(key).alias("slot"))))
+    odd = _screened(docs, bits, True).join(ids, F.col("doc_id").eqNullSafe(F.col(key)), "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    return _screened(docs, bits, False).unionByName(odd.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 OP8_SQL = r"""

@@ -235,26 +235,59 @@ def test_jaccard_join_matches_brute_force(spark, docs, none):
     assert ngramjoin.join_components(none).count() == 0
 
 
+def brute_labels(sets, sizes, label):
+    label = label.copy()
+    for i in range(len(sets)):
+        for j in range(i):
+            if 175 * len(np.intersect1d(sets[i], sets[j])) >= 75 * (sizes[i] + sizes[j]):
+                label[label == label[i]] = label[j]
+    return label
+
+
+def same_parts(a, b):
+    return len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
 def test_prefix_tree_finds_all_links():
     rng = np.random.default_rng(4)
-    sets = []
-    for _ in range(60):
-        own = np.unique(rng.integers(0, 400, 40).astype(np.uint64))
-        sets += [own, np.unique(np.concatenate((own[: -rng.integers(1, 9)], rng.integers(0, 400, 3).astype(np.uint64))))]
-    tree = ngramjoin.PrefixTree(sets)
-    for probe in sets:
-        want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))}
-        assert set(tree.search(probe, len(probe))) == want
-        assert set(tree.search(probe, len(probe), len(probe))) == {i for i in want if len(sets[i]) >= len(probe)}
-
-
-def test_tiles_leave_out_what_cannot_link():
-    a, b = np.arange(100, dtype=np.uint64), np.arange(20, 110, dtype=np.uint64)
-    c = np.concatenate((np.arange(10), np.arange(500, 600))).astype(np.uint64)
-    live, left = ngramjoin.shared_only([a, b, c])
-    assert live == [0, 1] and left[0].tolist() == list(range(20, 100))
-    tree = ngramjoin.PrefixTree([left[0]], [100])
-    assert list(tree.search(left[1], 90)) == ([0] if 100 * 80 >= 75 * 110 else [])
+    for _ in range(12):
+        sets, sizes = [], []
+        for _ in range(40):
+            own = np.unique(rng.integers(0, 400, rng.integers(1, 60)))
+            near = np.unique(np.concatenate((own[: max(1, len(own) - rng.integers(0, 9))], rng.integers(0, 400, 3))))
+            sets += [own, near, near]
+            sizes += [len(own) + rng.integers(0, 6), len(near), len(near) + rng.integers(0, 20)]
+        sizes = np.array(sizes)
+        label = np.arange(len(sets))
+        label[:20:3] = 0
+        want = brute_labels(sets, sizes, label)
+        tree = ngramjoin.PrefixTree(sets, sizes)
+        assert same_parts(tree.join(label), want) and same_parts(tree.join(label, 3), want)
+
+
+def near_copies(n, size, seed, edits, hot=""):
+    """n texts: near copies of one text, each with some words replaced, and a passage that all texts of the table share."""
+    rng, kept = random.Random(seed), words(size, seed).split()
+    out = []
+    for _ in range(n):
+        copy = kept[:]
+        for _ in range(rng.randint(0, edits)):
+            copy[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(copy) + hot)
+    return out
+
+
+def test_jaccard_join_with_a_large_group_and_hot_shingles(spark, monkeypatch):
+    hot = " all rights reserved by the owners of this page " + words(30, 77)
+    texts = near_copies(150, 80, 21, 6, hot) + near_copies(40, 60, 22, 5) + [words(40, 200 + i) + hot for i in range(80)] + [words(6, 300 + i) + hot for i in range(60)]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    for tile in (ngramjoin.TILE, 1500):
+        monkeypatch.setattr(ngramjoin, "TILE", tile)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.join_components(table).collect()) == want
+    monkeypatch.setattr(ngramjoin, "levels", lambda surveyed: np.full(ngramjoin.SKETCH, 3, np.uint8))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.join_components(table).collect()) == want
 
 
 def test_line_dedup(docs, none):
