@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,15 +24,21 @@ def scratch_root(spark: SparkSession) -> str:
         found = spark.sparkContext.getCheckpointDir()
         if found:
             return found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stratavec-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir()
     return root
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared scratch root, removed when the session's process ends."""
     path = f"{scratch_root(spark).rstrip('/')}/stratavec-{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
     atexit.register(drop_path, spark, path)
     return path
 
@@ -70,6 +76,28 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The stored result of build(); scratch tables that it stored on the way are deleted."""
+    mark = len(_made)
+    done, path = stored(build(), label)
+    for other in _made[mark:]:
+        if other != path:
+            drop_path(spark, other)
+    del _made[mark:]
+    _made.append(path)
+    return done
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From here on the session sends at most this many rows to Python at a time, so that long texts stay few in memory.
+
+    Set for good, as a returned table is run by its caller; a smaller bound that the session already has stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs started within send at most `rows` rows to Python at a time; for columns of large values."""

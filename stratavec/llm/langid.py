@@ -7,8 +7,9 @@ by penalised likelihood: nested sets by estimated proportion, each refitted, sco
 `penalty` * log(words) a language.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows are judged one by one, repeated or
-not; an empty table gives an empty result; without any training row every document is `und`; extra columns are ignored;
-texts of any length are read whole. Ties go to the language that sorts first.
+not; an empty table gives an empty result; without any training row every document is `und`; extra columns are ignored
+by the query and kept by the stage, whatever their names; texts of any length are read whole. Ties go to the language that
+sorts first. More than `MAX_LABELS` labels are refused: the model has a row a label, so their number must have a bound.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import table
+from stratavec.llm.common import small_batches, table, unused
 from stratavec.llm.textbytes import BYTE_LOWER, Texts, mix, slices
 
 #: n-gram buckets: the model is this many rows a language, whatever the corpus.
@@ -27,6 +28,7 @@ ORDER = 3
 EM_STEPS = 8
 PENALTY = 4.0
 SMOOTHING = 0.2
+MAX_LABELS = 1000
 _BYTES = mix(BYTE_LOWER)
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -70,7 +72,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    if docs.select("lang").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct labels in lang")
+    rows = docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
     code = {x: i for i, x in enumerate(langs)}
@@ -121,14 +126,17 @@ def _has_letter(raw: bytes) -> bool:
     return any(map(str.isalpha, raw.decode("utf-8", "replace")))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], score_name: str = "score") -> DataFrame:
-    """All columns of docs, and lang_pred, the score (its proportion) and lang_shares (map of the chosen set)."""
+NAMES = ("lang_pred", "score", "lang_shares")
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """All columns of docs, and by these names the language, the score (its proportion) and a map of the chosen set's shares."""
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     keep = list(docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField(score_name, T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.MapType(T.StringType(), T.DoubleType()))])
 
     def run(batches):
         langs, weights = sent.value
@@ -141,7 +149,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], score_name: s
                 pred = pa.array([langs[i] if ok else "und" for i, ok in zip(top, known, strict=True)], pa.string())
                 score = pa.array([min(1.0, float(share[d, i])) if ok else 0.0 for d, (i, ok) in enumerate(zip(top, known, strict=True))], pa.float64())
                 maps = [[(langs[i], float(row[i])) for i in np.flatnonzero(row > 0)] if ok else [] for row, ok in zip(share, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pred, score, pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*keep, "lang_pred", score_name, "lang_shares"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pred, score, pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*keep, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -156,6 +164,7 @@ def train_split(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train_split(docs.select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
@@ -167,7 +176,8 @@ MIN_SHARE = 0.3
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejects documents without an identified language; the rest keep their columns, lang becomes the prediction."""
+    small_batches(spark)
     model = train_split(docs.select("doc_id", "text", "lang"))
-    columns = docs.columns
-    found = identify(docs, model, "lang_score").where(f"lang_pred <> 'und' AND lang_score >= {MIN_SHARE}")
-    return found.withColumn("lang", F.col("lang_pred")).select(*columns)
+    columns, names = docs.columns, tuple(unused(docs.columns, *NAMES))
+    found = identify(docs, model, names).where((F.col(names[0]) != "und") & (F.col(names[1]) >= MIN_SHARE))
+    return found.withColumn("lang", F.col(names[0])).select(*columns)

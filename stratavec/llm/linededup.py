@@ -15,8 +15,9 @@ Everything is counted with partial aggregation over hashed keys: no leaf meets i
 enough texts and more than one form have their tokens counted.
 
 Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template, and blank lines always stay; null and empty texts pass unchanged;
-repeated rows are equal texts and count once; a null doc_id sorts first; an empty table gives an empty result; extra
-columns are ignored. White space between tokens does not matter for equality; kept lines keep their bytes.
+repeated rows are equal texts and count once; rows that repeat a doc_id with the first occurrence's line at its number all
+keep it; a null doc_id sorts first; an empty table gives an empty result; extra columns are kept, whatever their names (the
+counts get names of their own). White space between tokens does not matter for equality; kept lines keep their bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavec.llm.common import SLOTS, arrow_rows, bitmap, hit, stored, table
+from stratavec.llm.common import SLOTS, arrow_rows, bitmap, hit, settled, stored, table, unused
 from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices
 
 MIN_DOCS = 5
@@ -124,7 +125,7 @@ def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal:
                         seen.add(key)
                         lines.append(key)
                         tokens.append(x.words[x.first[i] : x.last[i]].view(np.int64))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if lines:
                     yield pa.RecordBatch.from_arrays([_signed(np.array(lines, np.uint64)), pa.array(tokens, pa.list_(pa.int64()))], ["line", "tokens"])
@@ -203,15 +204,16 @@ def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: flo
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_literal: float = MIN_LITERAL) -> DataFrame:
-    """docs with n_lines, n_dropped, and text without the dropped lines.
+    """docs with text without the dropped lines, then n_lines and n_dropped (names with underscores before where docs has these).
 
     Documents without any recurring line (by a fixed-size bitmap) are not shuffled.
     """
     spark, columns = docs.sparkSession, docs.columns
-    known, _ = stored(recurring(docs, min_docs, min_tokens, min_literal), "recurring")
+    known = settled(spark, lambda: recurring(docs, min_docs, min_tokens, min_literal), "recurring")
     bits = spark.sparkContext.broadcast(bitmap(known.select(_slot("line"))))
-    names = [*columns, "_row", "_lines", "_hits"]
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("_row string, _lines int, _hits array<struct<line:bigint,number:int>>").fields])
+    row_, lines_, hits_, gone_, n_lines_, n_dropped_ = unused(columns, "row_key", "line_count", "line_hits", "lines_gone", "n_lines", "n_dropped")
+    names = [*columns, row_, lines_, hits_]
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"{row_} string, {lines_} int, {hits_} array<struct<line:bigint,number:int>>").fields])
 
     def run(batches):
         import uuid
@@ -233,16 +235,16 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
 
     with arrow_rows(spark, TEXT_ROWS):
         marked, _ = stored(docs.mapInArrow(run, schema), "marked")
-    hits = marked.where("size(_hits) > 0")
-    found = hits.select("_row", "doc_id", F.inline("_hits")).join(known, "line").where("NOT (doc_id <=> first_doc AND number = first_number)")
-    gone = found.groupBy("_row").agg(F.collect_set("number").alias("_gone"))
-    some = hits.join(gone, "_row", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    none = marked.where("size(_hits) = 0").withColumn("_gone", F.array().cast("array<int>"))
+    hits = marked.where(F.size(hits_) > 0)
+    found = hits.select(row_, "doc_id", F.inline(hits_)).join(known, "line").where("NOT (doc_id <=> first_doc AND number = first_number)")
+    gone = found.groupBy(row_).agg(F.collect_set("number").alias(gone_))
+    some = hits.join(gone, row_, "left").withColumn(gone_, F.coalesce(gone_, F.array().cast("array<int>")))
+    none = marked.where(F.size(hits_) == 0).withColumn(gone_, F.array().cast("array<int>"))
     all_ = some.unionByName(none)
     parts = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))
-    return all_.withColumn("text", text).withColumn("n_lines", F.col("_lines").cast("long")).withColumn("n_dropped", F.size("_gone").cast("long")).select(*columns, "n_lines", "n_dropped")
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col(gone_), i)), "\n")
+    text = F.when(F.size(gone_) > 0, kept).otherwise(F.col("text"))
+    return all_.withColumn("text", text).withColumn(n_lines_, F.col(lines_).cast("long")).withColumn(n_dropped_, F.size(gone_).cast("long")).select(*columns, n_lines_, n_dropped_)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +254,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: recurring lines are cut and n_chars follows; documents left without any line go."""
-    columns = docs.columns
-    done = drop_lines(docs).where("n_dropped = 0 OR text <> ''")
+    columns, done = docs.columns, drop_lines(docs)
+    done = done.where((F.col(done.columns[-1]) == 0) | (F.col("text") != ""))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
