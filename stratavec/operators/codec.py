@@ -19,7 +19,7 @@ DECIMALS = 9
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A batch's list column as a dense matrix of doubles."""
+    """A batch's list column, without nulls and of equal lengths, as a dense matrix of doubles."""
     if not len(column):
         return np.empty((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -55,10 +55,12 @@ def half(x: np.ndarray) -> np.ndarray:
 
 
 def train_rq(x: np.ndarray, cfg: PanelConfig, steps: int = 1) -> np.ndarray:
-    """[stages, codes, dim]. x is in seeded order; stage t starts from the residuals of rows t*codes.. of it."""
+    """[stages, codes, dim]. x is in seeded order; stage t starts from the residuals of rows t*codes.. of it, and from zeros
+    where there are no more rows."""
     books, residual = [], x
     for t in range(cfg.stages):
-        book = lloyd(residual, residual[t * cfg.codes : (t + 1) * cfg.codes], steps)
+        start = residual[t * cfg.codes : (t + 1) * cfg.codes]
+        book = lloyd(residual, np.concatenate((start, np.zeros((cfg.codes - len(start), x.shape[1])))), steps)
         books.append(book)
         residual = residual - book[nearest(residual, book)]
     return np.array(books)
@@ -113,8 +115,9 @@ def train_pq(x: np.ndarray, parts: int, codes: int, steps: int = 1) -> np.ndarra
     """[parts, codes, dim / parts]; part m starts from the first rows' sub-vectors."""
     if x.shape[1] % parts:
         raise ValueError("parts must divide the dimension")
-    sub = x.reshape(len(x), parts, -1)
-    return np.array([lloyd(sub[:, m], sub[:codes, m], steps) for m in range(parts)])
+    sub = x.reshape(len(x), parts, x.shape[1] // parts)
+    start = np.concatenate((sub[:codes], np.zeros((max(0, codes - len(sub)), *sub.shape[1:]))))
+    return np.array([lloyd(sub[:, m], start[:, m], steps) for m in range(parts)])
 
 
 def encode_pq(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -172,16 +175,32 @@ def encode_query_aware(x: np.ndarray, books: np.ndarray, cluster: np.ndarray, ma
     return codes
 
 
-def update_query_aware(x: np.ndarray, codes: np.ndarray, shape: tuple[int, int, int], ridge: float = 1e-3) -> np.ndarray:
-    """Codebooks by ridge least squares over code co-occurrence counts."""
+def update_query_aware(x: np.ndarray, codes: np.ndarray, cluster: np.ndarray, matrices: np.ndarray, shape: tuple[int, int, int], ridge: float = 1e-3) -> np.ndarray:
+    """Product codebooks that minimise the sum of (x - x^)' A (x - x^), A the matrix of the row's cluster, given the codes.
+
+    All codewords are unknowns of one system: blocks (m, a), (n, b) hold the sum of A[m, n] over the rows with code a in
+    part m and b in part n, that is, co-occurrence counts by cluster times the clusters' matrices.
+    """
     parts, k, width = shape
-    hot = np.zeros((len(x), parts * k))
-    hot[np.arange(len(x))[:, None], codes + np.arange(parts) * k] = 1
-    books = np.zeros(shape)
-    sub = x.reshape(len(x), parts, width)
-    for m in range(parts):
-        own = hot[:, m * k : (m + 1) * k]
-        books[m] = np.linalg.solve(own.T @ own + ridge * np.eye(k), own.T @ sub[:, m])
+    left = np.zeros((parts, k, width, parts, k, width))
+    right = np.zeros((parts, k, width))
+    for c, a in enumerate(matrices):
+        own, rows = codes[cluster == c], x[cluster == c]
+        hot = np.zeros((len(own), parts, k))
+        hot[np.arange(len(own))[:, None], np.arange(parts), own] = 1
+        counts = np.einsum("nma,npb->mapb", hot, hot)
+        blocks = a.reshape(parts, width, parts, width)
+        left += np.einsum("mapb,mipj->maipbj", counts, blocks)
+        right += np.einsum("nma,nmi->mai", hot, (rows @ a).reshape(len(rows), parts, width))
+    size = parts * k * width
+    return np.linalg.solve(left.reshape(size, size) + ridge * np.eye(size), right.ravel()).reshape(shape)
+
+
+def train_query_aware(x: np.ndarray, books: np.ndarray, centres: np.ndarray, matrices: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Codebooks after some rounds of encoding and updating under the clusters' query matrices."""
+    cluster = nearest(x, centres)
+    for _ in range(rounds):
+        books = update_query_aware(x, encode_query_aware(x, books, cluster, matrices), cluster, matrices, books.shape)
     return books
 
 

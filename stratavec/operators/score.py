@@ -33,9 +33,9 @@ def packed(rows: DataFrame, name: str, columns: list[str], block_rows: int = BLO
     return dealt.groupBy(name).agg(F.collect_list(F.struct(*columns)).alias(f"{name}_rows")), blocks
 
 
-def block_pairs(items: DataFrame, queries: DataFrame, item_columns: list[str], query_columns: list[str]) -> DataFrame:
+def block_pairs(items: DataFrame, queries: DataFrame, item_columns: list[str], query_columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(item block, query block) units; the smaller side, the queries, is sent to every item block."""
-    left, blocks = packed(items, "iblock", item_columns)
+    left, blocks = packed(items, "iblock", item_columns, block_rows)
     right, _ = packed(queries, "qblock", query_columns, 512)
     sent = right.withColumn("iblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return left.join(sent, "iblock")
@@ -45,19 +45,22 @@ def _columns(rows: pa.ListArray, name: str) -> pa.Array:
     return rows.flatten().field(name)
 
 
-def topk(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rnk, item_id, score: the exact top k inner products. items (item_id, x); queries (query_id, q, exclude_id)."""
+def topk(items: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, kind: str = "f8") -> DataFrame:
+    """query_id, rnk, item_id, score: the exact top k inner products. items (item_id, x); queries (query_id, q, exclude_id).
+
+    kind is the precision that products are summed in.
+    """
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         own, asked = part.column("iblock_rows").combine_chunks(), part.column("qblock_rows").combine_chunks()
         ids, names = _columns(own, "item_id").to_numpy(), _columns(asked, "query_id").to_numpy()
         out = np.array(_columns(asked, "exclude_id").fill_null(-1))
-        score = np.round(matrix(_columns(asked, "q")) @ matrix(_columns(own, "x")).T, DECIMALS)
+        score = np.round((matrix(_columns(asked, "q")).astype(kind) @ matrix(_columns(own, "x")).astype(kind).T).astype("f8"), DECIMALS)
         score[out[:, None] == ids] = -np.inf
         q, i = np.nonzero(leaders(score, ids, k))
         return pa.table({"query_id": pa.array(names[q], pa.int64()), "item_id": pa.array(ids[i], pa.int64()), "score": pa.array(score[q, i])})
 
-    pairs = block_pairs(items.select("item_id", "x"), queries.select("query_id", "q", "exclude_id"), ["item_id", "x"], ["query_id", "q", "exclude_id"])
+    pairs = block_pairs(items.select("item_id", "x"), queries.select("query_id", "q", "exclude_id"), ["item_id", "x"], ["query_id", "q", "exclude_id"], block_rows)
     found = pairs.groupBy("iblock", "qblock").applyInArrow(run, "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("query_id", "rnk", "item_id", "score")

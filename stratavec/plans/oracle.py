@@ -10,8 +10,8 @@ _DIST = "round(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip({a}, {b
 def base(cfg: PanelConfig = DEFAULT) -> str:
     """CTEs gal, vec, codes, cb, pstat and sc (sc holds all pairs of queries and items)."""
     K, out = cfg.codes, []
-    out.append(f"g AS (SELECT vec_id::BIGINT AS item_id, embedding::DOUBLE[] AS x, label::BIGINT AS label, row_number() OVER (ORDER BY sha256('{cfg.seed}:' || vec_id), vec_id) - 1 AS rk, count(*) OVER () AS n FROM embeddings)")
-    out.append("gal0 AS (SELECT item_id, x, label, CASE WHEN rk * 100 < 20 * n THEN 'calibration' WHEN rk * 100 < 25 * n THEN 'validation' WHEN rk * 100 < 35 * n THEN 'test' ELSE 'pool' END AS role FROM g)")
+    out.append(f"g AS (SELECT vec_id::BIGINT AS item_id, embedding::DOUBLE[] AS x, label::BIGINT AS label, row_number() OVER (ORDER BY sha256('{cfg.seed}:' || vec_id), vec_id) - 1 AS rk, count(*) OVER () AS n FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0)")
+    out.append("gal0 AS (SELECT item_id, x, label, CASE WHEN rk * 100 < 20 * n AND rk < 5000 THEN 'calibration' WHEN rk * 100 < 25 * n AND rk < 5500 THEN 'validation' WHEN rk * 100 < 35 * n AND rk < 6000 THEN 'test' ELSE 'pool' END AS role FROM g)")
     out.append("gal AS (SELECT item_id, role, label FROM gal0)")
     out.append("vec AS (SELECT item_id, x FROM gal0)")
     out.append(f"t0 AS (SELECT item_id, row_number() OVER (ORDER BY sha256('{cfg.seed + 6}:' || item_id), item_id) - 1 AS k FROM gal WHERE role = 'pool')")

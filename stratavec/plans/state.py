@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ _made: dict[tuple, Panel] = {}
 def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratavec-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -39,11 +42,13 @@ class Panel:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: PanelConfig):
         self.spark, self.cfg = spark, cfg
         self._derived: dict[str, DataFrame] = {}
+        self._values: dict[str, object] = {}
         self.path = f"{_root(spark)}/stratavec-panel-{uuid.uuid4().hex[:12]}"
         atexit.register(_drop, spark, self.path)
         roles = self.keep(with_roles(gallery(spark, sf_dir), cfg.seed), "roles")
         self.books = train_rq(training_rows(roles.where("role = 'pool'"), cfg), cfg)
         books = self.books
+        self.dim = books.shape[2]
         self.items = self.keep(encode_table(roles, lambda x: encode_rq(x, books)), "items")
         queries = self.items.where("role <> 'pool'").select(F.col("item_id").alias("query_id"), F.col("x").alias("q"))
         self.scored = self.keep(scored(self.items, queries, books, cfg), "scored")
@@ -52,6 +57,12 @@ class Panel:
         rows.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
+    def once(self, name: str, make: Callable[[], object]):
+        """A small value of fixed size (codebooks, moments) that is the same whenever it is asked for."""
+        if name not in self._values:
+            self._values[name] = make()
+        return self._values[name]
+
     def codebook(self) -> DataFrame:
         """stage, code, c: bounded by the codec's size."""
         rows = [(s, k, c.tolist()) for s, book in enumerate(self.books) for k, c in enumerate(book)]
@@ -84,10 +95,10 @@ class Panel:
             self._derived[name] = self.keep(rows, name)
         return self._derived[name]
 
-    def derived(self, name: str, sql: str) -> DataFrame:
-        """A relation that many queries start from, written when first asked for."""
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A relation that many queries start from, built and written when first asked for."""
         if name not in self._derived:
-            self._derived[name] = self.keep(self.spark.sql(sql), name)
+            self._derived[name] = self.keep(build(), name)
         return self._derived[name]
 
     def views(self) -> None:
@@ -100,8 +111,15 @@ class Panel:
         self.scored.createOrReplaceTempView("sc")
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple:
+    """Length and time of the files under a path: changed data makes another panel."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in place.listStatus(where)))
+
+
 def panel(spark: SparkSession, sf_dir: str, cfg: PanelConfig = DEFAULT) -> Panel:
-    key = (spark.sparkContext.applicationId, sf_dir, cfg)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg, _stamp(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet"))
     if key not in _made:
         _made[key] = Panel(spark, sf_dir, cfg)
     return _made[key]

@@ -7,23 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavec.config import DEFAULT
+from stratavec.functions import dot, packed_bits
 from stratavec.operators import codec
-from stratavec.operators.allocate import allocate
+from stratavec.operators.index import pack_rows, unpack_rows
 from stratavec.operators.score import topk
 from stratavec.plans.state import panel
 from stratavec.sources.tables import gallery, ranked
 
 K = 10
-
-
-def dot(a, b):
-    """Inner product of two array columns, summed in order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+#: Every row with an id divisible by this is a query.
+EVERY = 50
 
 
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the nearest neighbours of the rows whose id is divisible by 50, against all rows."""
     items = gallery(spark, sf_dir)
-    queries = items.where("item_id % 10 = 3").select(F.col("item_id").alias("query_id"), F.col("x").alias("q"), F.col("item_id").alias("exclude_id"))
+    queries = items.where(f"item_id % {EVERY} = 0").select(F.col("item_id").alias("query_id"), F.col("x").alias("q"), F.col("item_id").alias("exclude_id"))
     found = topk(items, queries, K)
     return found.select("query_id", "rnk", "item_id", F.round("score", 6).alias("score"))
 
@@ -35,28 +34,54 @@ def norm_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gallery(spark, sf_dir).withColumn("n", F.sqrt(dot("x", "x")))
-    unit = F.transform("x", lambda v: v / F.col("n"))
-    return rows.where("n > 0").select("item_id", F.round(F.get(unit, F.lit(0)), 6).alias("first"), F.round(F.sqrt(dot(unit, unit)), 6).alias("norm"))
+    unit = rows.where("n > 0").select("item_id", F.posexplode(F.transform("x", lambda v: v / F.col("n"))).alias("dim", "v"))
+    return unit.select("item_id", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
 
 
 def sha_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(gallery(spark, sf_dir).select("item_id"), 17, "rk").select("item_id", F.col("rk").cast("long").alias("rk"))
 
 
+def permutation(seed: int, dim: int) -> list[int]:
+    """The coordinates 0 to dim - 1 in seeded order."""
+    import hashlib
+
+    return sorted(range(dim), key=lambda i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest())
+
+
+def permuted(rows: DataFrame, order: list[int]) -> DataFrame:
+    """rows with the coordinates of x in another order, which must be a permutation."""
+    if sorted(order) != list(range(len(order))):
+        raise ValueError("not a permutation")
+    return rows.withColumn("x", F.transform(F.array(*(F.lit(i) for i in order)), lambda i: F.get("x", i)))
+
+
 def permute_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turned = F.reverse("x")
-    return gallery(spark, sf_dir).select("item_id", F.round(F.get(turned, F.lit(0)), 6).alias("first"), F.round(F.get(turned, F.lit(63)), 6).alias("last"))
+    """All coordinates in seeded order, and whether the inverse order restores the vector."""
+    rows = gallery(spark, sf_dir)
+    first = rows.select(F.size("x")).first()
+    order = permutation(7, first[0] if first else 0)
+    turned = permuted(rows.withColumn("was", F.col("x")), order)
+    back = permuted(turned.withColumn("turned", F.col("x")), sorted(range(len(order)), key=order.__getitem__))
+    out = back.select("item_id", (F.col("x") == F.col("was")).cast("long").alias("restored"), F.posexplode("turned").alias("dim", "v"))
+    return out.select("item_id", "restored", F.col("dim").cast("long").alias("dim"), F.round("v", 6).alias("v"))
 
 
 def block_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second moments of the first block of eight coordinates, by pairs; partial aggregation of at most 36 keys."""
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.sequence(i, F.lit(7)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("x", i) * F.get("x", j)).alias("v")))))
-    return gallery(spark, sf_dir).select(F.inline(pairs)).groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.round(F.avg("v"), 9).alias("v"))
+    """The calibration queries' second moments within every block of coordinates, by partial aggregation."""
+    parts = DEFAULT.stages
+    rows = panel(spark, sf_dir).items.where("role = 'calibration'").select("x", (F.size("x") / parts).cast("int").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rows = rows.select("part", F.expr("slice(x, part * w + 1, w)").alias("s"))
+    rows = rows.select("part", "s", F.posexplode("s").alias("i", "a")).select("part", "i", "a", F.posexplode("s").alias("j", "b")).where("i <= j")
+    keys = [F.col(c).cast("long").alias(c) for c in ("part", "i", "j")]
+    return rows.groupBy(*keys).agg(F.round(F.avg(F.col("a") * F.col("b")), 9).alias("v"))
 
 
 def pack_nibbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = panel(spark, sf_dir).items
-    return codes.select("item_id", *((F.get("codes", F.lit(2 * i)) + F.shiftleft(F.get("codes", F.lit(2 * i + 1)), 4)).cast("long").alias(f"byte{i}") for i in range(2)))
+    """Every row's codes as bytes, in column functions only."""
+    made = panel(spark, sf_dir)
+    data = packed_bits("codes", made.cfg.code_bits, made.cfg.stages)
+    return made.items.select("item_id", *(x.alias(f"byte{i}") for i, x in enumerate(data)))
 
 
 def unpack_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,23 +89,32 @@ def unpack_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose packed bit stream unpacks to other codes: none."""
-    bits = DEFAULT.code_bits
+    """By code length, the rows packed as bit streams, their bytes, the sum of the unpacked codes, and rows that came back changed."""
+    made = panel(spark, sf_dir)
+    bits, lengths = made.cfg.code_bits, made.cfg.lengths
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            codes = batch.column("codes").to_pylist()
-            bad = [list(codec.unpack_symbols(codec.pack_symbols(np.array(c), bits), len(c), bits)) != c for c in codes]
-            yield pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), pa.array([sum(bad)], pa.int64())], ["items", "broken"])
+            if batch.num_rows:
+                codes = codec.matrix(batch.column("codes")).astype(np.int64)
+                rows = []
+                for n in lengths:
+                    data = pack_rows(codes[:, :n], bits)
+                    back = unpack_rows(data, n, bits)
+                    rows.append((n, len(codes), data.size, int(back.sum()), int((back != codes[:, :n]).any(1).sum())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["len", "items", "bytes", "codes", "broken"])
 
-    return panel(spark, sf_dir).items.select("codes").mapInArrow(run, "items long, broken long").agg(F.sum("items").alias("items"), F.sum("broken").alias("broken"))
+    sums = [F.sum(c).alias(c) for c in ("items", "bytes", "codes", "broken")]
+    return made.items.select("codes").mapInArrow(run, "len long, items long, bytes long, codes long, broken long").groupBy("len").agg(*sums)
 
 
 def codec_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean squared error and bits a vector of every codec family, over all rows; fitted on the bounded sample."""
     made = panel(spark, sf_dir)
+    if not made.dim:
+        return spark.createDataFrame([], "codec string, bits long, mse double")
     cfg, x = made.cfg, codec.training_rows(made.items.where("role = 'pool'"), made.cfg)
     queries = codec.training_rows(made.items.where("role = 'calibration'"), made.cfg)
     rq = codec.train_rq(x, cfg, 4)
@@ -90,7 +124,7 @@ def codec_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cov_books, cov = codec.train_covariance(x, queries, cfg.stages, cfg.codes)
     centres = codec.lloyd(x, x[: cfg.stages], 4)
     moments = codec.query_matrices(queries, centres)
-    aware = codec.update_query_aware(x, codec.encode_query_aware(x, pq, codec.nearest(x, centres), moments), pq.shape)
+    aware = codec.train_query_aware(x, pq, centres, moments)
     split = {name: codec.train_split(x, 2, cfg, refine) for name, refine in (("prq", False), ("plsq", True))}
 
     def rebuilt(name: str, v: np.ndarray) -> np.ndarray:
@@ -127,21 +161,8 @@ def codec_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(F.broadcast(spark.createDataFrame(list(bits.items()), "codec string, bits long")), "codec").select("codec", "bits", F.round("mse", 6).alias("mse"))
 
 
-def allocate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Ordinal-KL allocation under the budget of the target length: items, spent and risk by option."""
-    from stratavec.plans.panel import run_sql
-
-    cfg = DEFAULT
-    wide = run_sql(spark, sf_dir, "ordinal_kl_risk").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("opt", "risk"))), lambda s: s.risk).alias("risks"))
-    wide = panel(spark, sf_dir).keep_once(wide, "wide_risk")
-    costs = [cfg.cost(n) for n in cfg.lengths]
-    chosen = allocate(wide, costs, wide.count() * cfg.cost(cfg.target))
-    risk = F.get("risks", F.col("opt").cast("int"))
-    return chosen.join(wide, "item_id").groupBy("opt").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum(risk), 6).alias("risk"))
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in (exact_topk, norm_report, l2_normalise, sha_rank, permute_dims, block_covariance, pack_nibbles, unpack_stage, pack_roundtrip, codec_quality, allocate_risk)}
+    return {f.__name__: f for f in (exact_topk, norm_report, l2_normalise, sha_rank, permute_dims, block_covariance, pack_nibbles, unpack_stage, pack_roundtrip, codec_quality)}
 
 
 _G = "WITH g AS (SELECT vec_id::BIGINT AS item_id, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -152,13 +173,13 @@ def oracle_sql() -> dict[str, str]:
 
     codes = f"WITH {base()}, w AS (SELECT item_id, max(CASE WHEN stage = 0 THEN code END) AS c0, max(CASE WHEN stage = 1 THEN code END) AS c1, max(CASE WHEN stage = 2 THEN code END) AS c2, max(CASE WHEN stage = 3 THEN code END) AS c3 FROM codes GROUP BY item_id)"
     return {
-        "exact_topk": f"{_G}, p AS (SELECT a.item_id AS query_id, b.item_id, list_inner_product(a.x, b.x) AS s FROM g a JOIN g b ON a.item_id % 10 = 3 AND a.item_id <> b.item_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item_id) AS rnk, item_id, round(round(s, 9), 6) AS score FROM p QUALIFY rnk <= 10",
+        "exact_topk": f"{_G}, p AS (SELECT a.item_id AS query_id, b.item_id, list_inner_product(a.x, b.x) AS s FROM g a JOIN g b ON a.item_id % 50 = 0 AND a.item_id <> b.item_id) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, item_id) AS rnk, item_id, round(round(s, 9), 6) AS score FROM p QUALIFY rnk <= 10",
         "norm_report": f"{_G}, n AS (SELECT sqrt(list_inner_product(x, x)) AS n, len(x) AS dim FROM g) SELECT count(*) AS items, max(dim) AS dim, round(min(n), 6) AS least, round(max(n), 6) AS most, round(avg(n), 6) AS mean FROM n",
-        "l2_normalise": f"{_G} SELECT item_id, round(x[1] / sqrt(list_inner_product(x, x)), 6) AS first, 1.0::DOUBLE AS norm FROM g",
+        "l2_normalise": f"{_G} SELECT item_id, dim - 1 AS dim, round(v / n, 6) AS v FROM (SELECT item_id, list_distance(x, [0.0::DOUBLE for i in x]) AS n, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM g)",
         "sha_rank": f"{_G} SELECT item_id, row_number() OVER (ORDER BY sha256('17:' || item_id), item_id) - 1 AS rk FROM g",
-        "permute_dims": f"{_G} SELECT item_id, round(x[64], 6) AS first, round(x[1], 6) AS last FROM g",
-        "block_covariance": f"{_G} SELECT i::BIGINT AS i, j::BIGINT AS j, round(avg(x[i + 1] * x[j + 1]), 9) AS v FROM g, range(0, 8) AS a(i), range(0, 8) AS b(j) WHERE i <= j GROUP BY ALL",
+        "permute_dims": f"{_G}, d AS (SELECT dim, row_number() OVER (ORDER BY sha256('7:' || dim)) - 1 AS place FROM (SELECT unnest(range(len(x))) AS dim FROM (SELECT x FROM g LIMIT 1))) SELECT g.item_id, 1::BIGINT AS restored, d.place AS dim, round(g.x[d.dim + 1], 6) AS v FROM g, d",
+        "block_covariance": f"WITH {base()} SELECT p.p AS part, i.i AS i, j.j AS j, round(avg(v.x[p.p * 16 + i.i + 1] * v.x[p.p * 16 + j.j + 1]), 9) AS v FROM gal g JOIN vec v USING (item_id), range(0, 4) p(p), range(0, 16) i(i), range(0, 16) j(j) WHERE g.role = 'calibration' AND i.i <= j.j GROUP BY ALL",
         "pack_nibbles": f"{codes} SELECT item_id, c0 + 16 * c1 AS byte0, c2 + 16 * c3 AS byte1 FROM w",
         "unpack_stage": f"{codes} SELECT item_id, c3 AS code FROM w",
-        "pack_roundtrip": "SELECT count(*) AS items, 0::BIGINT AS broken FROM embeddings",
+        "pack_roundtrip": f"WITH {base()} SELECT l.len::BIGINT AS len, count(DISTINCT c.item_id) AS items, CAST(count(DISTINCT c.item_id) * ceil(l.len * {DEFAULT.code_bits} / 8e0) AS BIGINT) AS bytes, CAST(sum(c.code) AS BIGINT) AS codes, 0::BIGINT AS broken FROM codes c JOIN (VALUES {', '.join(f'({n})' for n in DEFAULT.lengths)}) l(len) ON c.stage < l.len GROUP BY l.len",
     }
