@@ -19,7 +19,7 @@ STAGES = [
     ("best_fit_packing", packing.stage),
 ]
 
-#: Model inference, template trees and packing are beyond SQL; tests compare run() with brute force.
+#: Model inference, template trees and packing are beyond SQL; tests compare the stages with plain versions and check what run() returns.
 ORACLE_SQL = None
 
 
