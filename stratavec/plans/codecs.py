@@ -111,7 +111,7 @@ def nearest_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def work(c):
         d = codec.distances(codec.matrix(c["x"]), book.value)
-        return [c["item_id"], d.argmin(1), np.round(d.min(1), 6)]
+        return [c["item_id"], d.argmin(1), d.min(1)]
 
     return kernel(made.items, ["item_id", "x"], "item_id long, code long, distance double", work)
 
@@ -223,7 +223,7 @@ def adc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         score[who[:, None] == ids] = -np.inf
         best = score.argmax(0)
         keep = np.isfinite(score.max(0))
-        return [ids[keep], who[best][keep], np.round(score.max(0), 6)[keep]]
+        return [ids[keep], who[best][keep], score.max(0)[keep]]
 
     return kernel(made.items, ["item_id", "codes"], "item_id long, query_id long, score double", work)
 
@@ -304,7 +304,7 @@ def chunked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact neighbours of the validation queries, merged from the leaders of small chunks."""
     made = panel(spark, sf_dir)
     queries = made.items.where("role = 'validation'").select(F.col("item_id").alias("query_id"), F.col("x").alias("q"), F.col("item_id").alias("exclude_id"))
-    return topk(made.items, queries, made.cfg.k, block_rows=128).select("query_id", "rnk", "item_id", F.round("score", 6).alias("score"))
+    return topk(made.items, queries, made.cfg.k, block_rows=128).select("query_id", "rnk", "item_id", "score")
 
 
 def float_precision_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,7 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "kmeans_step": text(flat.format(k="code", c="c", t="k1"), "km"),
         "kmeans_fit": text(f"SELECT s.code, count(a.item_id) AS items, (SELECT round(sum(d), 5) FROM (SELECT item_id, min({_distance('v.x', 's.c')}) AS d FROM vec v, k{STEPS} s GROUP BY item_id)) AS error FROM k{STEPS} s LEFT JOIN (SELECT item_id, arg_min(code, (d, code)) AS code FROM (SELECT v.item_id, s.code, {_distance('v.x', 's.c')} AS d FROM vec v, k{STEPS} s) GROUP BY item_id) a USING (code) GROUP BY s.code", "km"),
         "spherical_kmeans_step": text(flat.format(k="code", c="c", t="cells"), "cell"),
-        "nearest_code": text(f"SELECT item_id, arg_min(code, (d, code)) AS code, round(min(d), 6) AS distance FROM (SELECT v.item_id, b.code, {_distance('v.x', 'b.c')} AS d FROM vec v, b0 b) GROUP BY item_id"),
+        "nearest_code": text(f"SELECT item_id, arg_min(code, (d, code)) AS code, min(d) AS distance FROM (SELECT v.item_id, b.code, {_distance('v.x', 'b.c')} AS d FROM vec v, b0 b) GROUP BY item_id"),
         "ivf_assign": text("SELECT a.item_id, a.cluster, round(list_distance(a.x, s.c), 6) AS residual FROM cell a JOIN cells s ON s.code = a.cluster", "cell"),
         "ivf_probe": text("SELECT p.query_id, p.rk, p.cluster, count(a.item_id) AS items FROM probed p LEFT JOIN cell a USING (cluster) GROUP BY ALL", "cell"),
         "pq_encode": text("SELECT item_id, part, code FROM pc", "pq"),
@@ -406,12 +406,12 @@ def oracle_sql() -> dict[str, str]:
         "codebooks": text("SELECT stage, code, dim - 1 AS dim, round(v, 9) AS v FROM (SELECT stage, code, unnest(c) AS v, generate_subscripts(c, 1) AS dim FROM cb)"),
         "prefix_check": text("SELECT count(*) AS items, CAST(sum(CASE WHEN a0.code <> c.c0 OR a1.code <> c.c1 THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM a0 JOIN a1 USING (item_id) JOIN (SELECT item_id, max(CASE WHEN stage = 0 THEN code END) AS c0, max(CASE WHEN stage = 1 THEN code END) AS c1 FROM codes GROUP BY item_id) c USING (item_id)"),
         "gram_norm": text(f"SELECT item_id, round(list_inner_product(y, y), 6) AS norm2 FROM pstat WHERE option = {last}"),
-        "adc_scores": text(f"SELECT item_id, arg_min(query_id, (-s, query_id)) AS query_id, round(max(s), 6) AS score FROM (SELECT p.item_id, g.item_id AS query_id, round(list_inner_product(v.x, p.y) / greatest(p.norm, 1e-12), 9) AS s FROM pstat p, gal g JOIN vec v USING (item_id) WHERE p.option = {last} AND g.role = 'test' AND g.item_id <> p.item_id) GROUP BY item_id"),
+        "adc_scores": text(f"SELECT item_id, arg_min(query_id, (-s, query_id)) AS query_id, max(s) AS score FROM (SELECT p.item_id, g.item_id AS query_id, round(list_inner_product(v.x, p.y) / greatest(p.norm, 1e-12), 9) AS s FROM pstat p, gal g JOIN vec v USING (item_id) WHERE p.option = {last} AND g.role = 'test' AND g.item_id <> p.item_id) GROUP BY item_id"),
         "mahalanobis_assign": text(f"SELECT item_id, part, arg_min(code, (round(d, 9), code)) AS code FROM (SELECT s.item_id, s.part, b.code, avg(list_inner_product(q.s, b.c) * (list_inner_product(q.s, b.c) - 2 * list_inner_product(q.s, s.s))) AS d FROM sub s JOIN pb b USING (part) JOIN sub q USING (part) JOIN cq ON cq.query_id = q.item_id GROUP BY s.item_id, s.part, b.code) GROUP BY item_id, part", "pq", "err"),
         "query_ip_distortion": text("SELECT e.item_id, e.opt, round(avg(list_inner_product(c.q, e.cosine) ** 2), 6) AS v FROM er e, cq c GROUP BY e.item_id, e.opt", "err"),
         "block_cov_loss": text(f"SELECT e.item_id, e.opt, round(sum({block.format(x='raw')} ** 2) / (SELECT count(*) FROM cq), 6) AS raw, round(sum({block.format(x='cosine')} ** 2) / (SELECT count(*) FROM cq), 6) AS cosine FROM er e, cq c, range(0, {M}) b(m) GROUP BY e.item_id, e.opt", "err"),
         "softmax_query_loss": text("SELECT item_id, opt, round(sum(w * r * r) / sum(w), 6) AS raw, round(sum(w * c * c) / sum(w), 6) AS cosine FROM (SELECT e.item_id, e.opt, exp(list_inner_product(c.q, e.x)) AS w, list_inner_product(c.q, e.raw) AS r, list_inner_product(c.q, e.cosine) AS c FROM er e, cq c) GROUP BY item_id, opt", "err"),
         "subspace_order": text("SELECT part, round(gain, 6) AS gain, row_number() OVER (ORDER BY round(gain, 9) DESC, part) - 1 AS place FROM (SELECT s.part, avg(2 * list_inner_product(s.s, b.c) - list_inner_product(b.c, b.c)) AS gain FROM sub s JOIN pc p USING (item_id, part) JOIN pb b USING (part, code) JOIN gal g USING (item_id) WHERE g.role = 'pool' GROUP BY s.part)", "pq"),
-        "chunked_topk": text(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rnk, item_id, round(s, 6) AS score FROM (SELECT g.item_id AS query_id, v.item_id, round(list_inner_product(q.x, v.x), 9) AS s FROM gal g JOIN vec q USING (item_id), vec v WHERE g.role = 'validation' AND v.item_id <> g.item_id) QUALIFY rnk <= {cfg.k}"),
+        "chunked_topk": text(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rnk, item_id, s AS score FROM (SELECT g.item_id AS query_id, v.item_id, round(list_inner_product(q.x, v.x), 9) AS s FROM gal g JOIN vec q USING (item_id), vec v WHERE g.role = 'validation' AND v.item_id <> g.item_id) QUALIFY rnk <= {cfg.k}"),
         "paired_drift": text(f"SELECT count(*) AS pairs, round(avg(abs(a - b)), 7) AS mean, round(max(abs(a - b)), 7) AS most, CAST(sum(CASE WHEN abs(a - b) > 1e-7 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM (SELECT list_inner_product(q.x, v.x) AS a, list_sum([p[1] * p[2] for p in list_zip(q.x, v.x)]) AS b, row_number() OVER (PARTITION BY q.item_id ORDER BY a DESC, v.item_id) AS rk FROM gal g JOIN vec q USING (item_id), vec v WHERE g.role = 'validation' AND v.item_id <> g.item_id) WHERE rk <= {cfg.k}"),
     }

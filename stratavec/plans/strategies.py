@@ -76,7 +76,7 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, centres, books = _index(made)
     queries = made.items.where("role = 'test'").select(F.col("item_id").alias("query_id"), "x")
     found = index.search(rows, centres, books, queries, made.cfg, codecs.PROBES, made.cfg.wide, made.cfg.k)
-    return found.select("query_id", "rk", "item_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", "rk", "item_id", "score")
 
 
 def packing_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "hull_segments": text("SELECT s.strategy, s.item_id, s.from_opt, s.to_opt, s.extra, s.slope FROM al_s s"),
         "packed_index": text(f"SELECT c.cluster, a.len, count(*) AS items, CAST(sum(ceil(a.len * {cfg.code_bits} / 8e0)) AS BIGINT) AS code_bytes FROM alloc a JOIN cell c USING (item_id) GROUP BY ALL"),
         "index_search": text(
-            f"SELECT g.item_id AS query_id, n.rk, coalesce(b.item_id, -1) AS item_id, round(b.s, 6) AS score FROM gal g CROSS JOIN (SELECT unnest(range(1, {cfg.k + 1})) AS rk) n LEFT JOIN "
+            f"SELECT g.item_id AS query_id, n.rk, coalesce(b.item_id, -1) AS item_id, b.s AS score FROM gal g CROSS JOIN (SELECT unnest(range(1, {cfg.k + 1})) AS rk) n LEFT JOIN "
             f"(SELECT query_id, item_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rk FROM (SELECT s.query_id, s.item_id, CASE a.opt {score} END AS s FROM sc s JOIN cell c USING (item_id) JOIN probed p ON p.query_id = s.query_id AND p.cluster = c.cluster JOIN alloc a USING (item_id) WHERE p.rk <= {PROBES} "
             f"QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s.a1 DESC, s.item_id) <= {cfg.wide}) t) b ON b.query_id = g.item_id AND b.rk = n.rk WHERE g.role = 'test'"
         ),
