@@ -91,7 +91,7 @@ class _Fresh:
         self.seen: set[int] = set()
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen = set()
         for found in sets_of(column):
             if len(found) and (cls := class_key(found)) not in self.seen:
@@ -110,7 +110,7 @@ def _survey(batches):
             found = sets_of(batch.column("text"))
             classes = [class_key(x) if len(x) else None for x in found]
             new = {cls: x for cls, x in zip(classes, found, strict=True) if cls is not None and cls not in seen}
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen = set()
             seen.update(new)
             if new:

@@ -25,27 +25,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratavec.llm.common import arrow_rows, stored, table
+from stratavec.llm.common import arrow_rows, small_batches, stored, table
 from stratavec.llm.textbytes import slices
 
 CAPACITY = 2048
 SEPARATOR = b"\0\0\0\0"
-#: Distinct words, and distinct pre-tokens, that a Python worker remembers before it starts afresh.
-CACHE_ENTRIES = 800_000
+#: Words and pre-tokens of at most CACHE_LENGTH characters that a Python worker remembers of late: at most twice as many
+#: distinct ones, some 140 MB in all. Longer ones are never remembered.
+CACHE_WORDS = 100_000
+CACHE_PARTS = 250_000
+CACHE_LENGTH = 40
 #: Words of visible ASCII and of letters from À to ſ, each lower-cased to one letter and unchanged by normalisation.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 #: The tokenizer's pre-token pattern on such words in lower case (a fixed value of the vocabulary file).
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
 
 
-class _Words(dict):
-    """Ids by word; a word not seen before is encoded when it is asked for."""
+class _Recent(dict):
+    """Ids by word; a word not seen of late is encoded when it is asked for."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.before = encode, most, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self[word] = self.encode(word)
+    def __missing__(self, word):
+        got = self.before.get(word)
+        if got is None:
+            got = self.encode(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -65,35 +75,25 @@ class WordEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.bytes_as_text = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words = _Words(self._word)
-        self.parts: dict[str, bytes] = {}
+        self.words = _Recent(self._word, CACHE_WORDS)
+        self.parts = _Recent(lambda part: self._mapped(part.encode().decode("latin-1").translate(self.bytes_as_text)), CACHE_PARTS)
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def _part(self, part: str, mapped: bool) -> bytes:
-        got = self.parts.get(part) if not mapped else None
-        if got is None:
-            text = part if mapped else part.encode().decode("latin-1").translate(self.bytes_as_text)
-            got = self._ids([t.id for t in self.tokenizer.model.tokenize(text)])
-            if not mapped:
-                self.parts[part] = got
-        return got
+    def _mapped(self, text: str) -> bytes:
+        return self._ids([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if "<|" in word and any(s in word for s in self.special):
             return self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if _PLAIN.fullmatch(word):
-            return b"".join([self._part(p, False) for p in _PARTS.findall(word.lower())])
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))
-        return b"".join([self._part(p, True) for p, _ in split])
+        return b"".join([self._mapped(p) for p, _ in split])
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = _Words(self._word)
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {}
         get = self.words.__getitem__
         return [b"".join(map(get, raw.split())) for raw in raws]
 
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, keep_
         encode, task = encoder(tokenizer_file).encode, TaskContext.get().partitionId()
         made: defaultdict[int, int] = defaultdict(int)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text"):
                 raws = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
                 out: list[list] = [[] for _ in range(8)]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(raws), strict=True):

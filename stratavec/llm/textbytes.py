@@ -24,7 +24,7 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that one kernel call takes, unless a single document is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 

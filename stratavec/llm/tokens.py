@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from stratavec.llm.common import table
 
 MARK = "▁"
-#: Distinct pre-tokens that a Python worker remembers before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Distinct pre-tokens that a Python worker remembers before it starts afresh; those over CACHE_LENGTH characters only for
+#: the texts at hand.
+CACHE_ENTRIES = 200_000
+CACHE_LENGTH = 40
 LIMIT = 4096
 
 
@@ -60,7 +62,10 @@ class PieceCounter:
         merged = [w for w in todo if w not in whole]
         seen.update((w, 1) for w in todo if w in whole)
         seen.update(zip(merged, map(len, self.model.encode(merged, num_threads=1)) if merged else (), strict=True))
-        return [self._total(words) for words in parts]
+        counted = [self._total(words) for words in parts]
+        for w in [w for w in merged if len(w) > CACHE_LENGTH]:
+            del seen[w]
+        return counted
 
     def _total(self, words: list[str]) -> int:
         """The text's pre-tokens are its words, each with the mark before it; several marks join the word after them."""
@@ -72,9 +77,12 @@ class PieceCounter:
                 gap += 1
             elif gap:
                 key = " " * gap + w
-                if key not in self.seen:
-                    self.seen[key] = len(self.model.encode(key))
-                total, gap = total + self.seen[key], 0
+                many = self.seen.get(key)
+                if many is None:
+                    many = len(self.model.encode(key))
+                    if len(key) <= CACHE_LENGTH:
+                        self.seen[key] = many
+                total, gap = total + many, 0
             else:
                 total += self.seen[w]
         return total + (self.marks(gap) if gap else 0)
