@@ -11,7 +11,8 @@ sees has a fixed bound. Positions count code points, ends are exclusive.
 
 Patterns are written so that Java's matcher neither backtracks over a run twice nor recurses; they find what the
 contract's patterns find. Defined results: a null or empty text has no spans; repeated rows are scanned one by one; an
-empty table gives an empty result (and a model of priors only); extra columns are ignored; texts are scanned whole.
+empty table gives an empty result (and a model of priors only); extra columns are ignored by the query and kept by the
+stage, whatever their names; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import stored, table
+from stratavec.llm.common import stored, table, unused
 
 #: Kinds in output order; the first four are base kinds.
 KINDS = ["email", "ip", "card", "phone", "ssn", "secret"]
@@ -106,10 +107,9 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `spans`: array<struct<kind, start, end, base, votes..., shape features>>, kinds in order, starts ascending."""
-    whole = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    text = F.col("_t")
+def candidates(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with spans: array<struct<kind, start, end, base, votes..., shape features>>, kinds in order, starts ascending."""
+    text = F.coalesce(F.col("text"), F.lit(""))
 
     def judged(kind: str, base: bool, found: Column) -> Column:
         def one(s):
@@ -127,7 +127,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(found, one)
 
     parts = [judged(k, True, _found(text, PATTERNS[k])) for k in BASE] + [judged(k, False, _found(text, p)) for k, p in LOOSE.items()]
-    return whole.withColumn("spans", F.concat(*parts)).drop("_t")
+    return docs.withColumn(name, F.concat(*parts))
 
 
 def _em(counts: dict[tuple, int]) -> dict[tuple, float]:
@@ -200,22 +200,22 @@ def _score(model: dict, s) -> Column:
     return total
 
 
-def detect(found: DataFrame, model: dict) -> DataFrame:
-    """found with `spans` reduced to base spans and accepted others, by start, then kind in order."""
+def detect(found: DataFrame, model: dict, name: str = "spans") -> DataFrame:
+    """found with spans reduced to base spans and accepted others, by start, then kind in order."""
     order = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     limit = math.log(ACCEPT / (1 - ACCEPT))
 
     def overlaps(spans, s):
         return F.exists(spans, lambda b: b.base & (b.start < s.end) & (s.start < b.end))
 
-    kept = F.filter("spans", lambda s: s.base | ((_score(model, s) >= limit) & ~overlaps(F.col("spans"), s) & s.regex.isNull()))
+    kept = F.filter(name, lambda s: s.base | ((_score(model, s) >= limit) & ~overlaps(F.col(name), s) & s.regex.isNull()))
     slim = F.transform(kept, lambda s: F.struct(s.start.alias("start"), F.element_at(order, s.kind).alias("rank"), s.kind.alias("kind"), s.end.alias("end"), s.base.alias("base")))
-    return found.withColumn("spans", F.array_sort(slim))
+    return found.withColumn(name, F.array_sort(slim))
 
 
-def redact(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with every span of the text replaced by its kind in angle brackets; of overlapping spans the first stays."""
-    found = detect(candidates(docs), model)
+def redact(found: DataFrame, model: dict, name: str = "spans") -> DataFrame:
+    """candidates() without its spans, each span of the text replaced by its kind in angle brackets; of overlapping ones the first stays."""
+    found = detect(found, model, name)
     text = F.col("text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -223,8 +223,8 @@ def redact(docs: DataFrame, model: dict) -> DataFrame:
         ahead = F.substring(text, done.at + 1, s.start - done.at)
         return F.when(s.start >= done.at, F.struct(s.end.alias("at"), F.concat(done.out, ahead, F.lit("<"), s.kind, F.lit(">")).alias("out"))).otherwise(done)
 
-    clean = F.aggregate("spans", begin, step, lambda done: F.concat(done.out, F.substring(text, done.at + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).drop("spans")
+    clean = F.aggregate(name, begin, step, lambda done: F.concat(done.out, F.substring(text, done.at + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size(name) > 0, clean).otherwise(text)).drop(name)
 
 
 def _joined(spans: Column) -> Column:
@@ -245,6 +245,6 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: spans are replaced in the text and n_chars follows; no document is dropped."""
-    columns = docs.columns
-    model = fit(candidates(docs.select("text")).select("spans"))
-    return redact(docs, model).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    columns, (name,) = docs.columns, unused(docs.columns, "spans")
+    found, _ = stored(candidates(docs, name), "spans")
+    return redact(found, fit(found.select(F.col(name).alias("spans"))), name).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
