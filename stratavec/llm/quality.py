@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import table
+from stratavec.llm.common import small_batches, stored, table
 from stratavec.llm.textbytes import Texts, counts_by, mix, slices, windows
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_bangs", "n_alpha_words"]
@@ -126,10 +126,21 @@ def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
     return total.select(F.inline(structs))
 
 
+def lone_rule(version: str = "v1") -> Column:
+    """The one rule without which the policy would keep the document; null where none or several fail."""
+    on, case = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[version]))), F.lit(None).cast("string")
+    for name in POLICIES[version]:
+        case = F.when(on == mask([name]), name).otherwise(case)
+    return case
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
+    """The ledger is stored, then the policy and the ablation are read off its integers."""
+    small_batches(spark)
+    rows, _ = stored(ledger(table(spark, sf_dir, "documents")), "ledger")
+    judged = apply_policy(rows, "v1")
     failed = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES["base"]))) != 0
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "failed_bits")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "failed_bits", lone_rule().alias("lone_rule"))
 
 
 OP4_SQL = r"""
@@ -150,5 +161,7 @@ b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
              + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT
              + 64 * (2 * n_upper > n_letters AND n_letters >= 50)::BIGINT + 128 * (5 * n_digits > word_chars)::BIGINT
              + 256 * (4 * n_bangs > n_words)::BIGINT + 512 * (2 * n_alpha_words < n_words)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits,
+       CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbol_ratio' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words'
+                        WHEN 32 THEN 'long_words' WHEN 64 THEN 'shouting' WHEN 128 THEN 'digit_heavy' WHEN 256 THEN 'bang_ratio' WHEN 512 THEN 'few_alpha_words' END AS lone_rule FROM b
 """
