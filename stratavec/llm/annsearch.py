@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Rows are dealt to shards of about `SHARD_ROWS` by a hash of their id. A shard's distinct vectors become the nodes of a
+Rows are dealt to shards of about `SHARD_ROWS` (fewer while that leaves cores idle) by a hash of their id. A shard's distinct vectors become the nodes of a
 graph: greedy searches from the medoid propose neighbours, and relaxed distance pruning keeps a diverse few of them
-(a candidate goes when a kept neighbour is closer to it, by the factor alpha, than the node is). Blocks of queries visit
-every shard by beam search; the nearest of all shards are merged. Distances are Euclidean, in double precision, on the
+(a candidate goes when a kept neighbour is closer to it, by the factor alpha, than the node is). Queries go to every
+shard and search it by beam, a shard's index moves once for `QUERY_ROWS` queries; the nearest of all shards are merged. Distances are Euclidean, in double precision, on the
 original vectors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as query or candidate;
@@ -25,8 +25,12 @@ from pyspark.sql.window import Window
 
 from stratavec.llm.common import stored, table
 
-SHARD_ROWS = 2048
-QUERY_ROWS = 512
+#: Rows of a shard: what one task builds and holds, 16 MB of vectors of 64 dimensions and a graph of 6 MB.
+SHARD_ROWS = 32768
+LEAST_ROWS = 2048
+#: Queries that visit a shard in one task, and those that advance together.
+QUERY_ROWS = 16384
+LOCKSTEP = 256
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
@@ -155,10 +159,14 @@ def _build_shard(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
 
 
 def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(dim, shard, index): a graph a shard, over every usable row. Written to the shared folder."""
+    """(dim, shard, index): a graph a shard, over every usable row. Written to the shared folder.
+
+    A row's shard is a hash of its id, so copies of a vector spread over all shards.
+    """
     good = usable(rows)
-    shards = max(1, -(-good.count() // shard_rows))
-    dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    size = good.count()
+    shards = max(1, -(-size // shard_rows), min(rows.sparkSession.sparkContext.defaultParallelism, size // LEAST_ROWS))
+    dealt = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(4 * shards, "dim", "shard")
     return stored(dealt.groupBy("dim", "shard").applyInArrow(_build_shard, "dim int, shard int, index binary"), "index")[0]
 
 
@@ -166,29 +174,38 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, width: int = SEARCH
     """query_id, rank, vec_id, score of the k nearest found of every query (vec_id, embedding); own ids are left out."""
     good = usable(queries).dropDuplicates(["vec_id", "embedding"])
     blocks = max(1, -(-good.count() // QUERY_ROWS))
-    packed = good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    visits = index.join(packed, "dim")
-
-    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        shard = pickle.loads(part.column("index")[0].as_py())
-        ids, of, x = shard["ids"], shard["of"], shard["x"]
-        members = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[members], np.arange(len(x) + 1))
-        asked = part.column("queries")[0].as_py()
-        names = np.array([r["vec_id"] for r in asked])
-        q = np.array([r["embedding"] for r in asked], np.float64)
+    shards = index.agg(F.max("shard")).first()[0]
+    shards = 0 if shards is None else shards + 1
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    keys, parts = ["dim", "shard", "block"], max(1, 4 * shards * blocks)
+    visits = good.select("dim", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard"), block).repartition(parts, *keys)
+    sent = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, *keys)
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        for name, vector, near in zip(names, q, beam(x, shard["graph"], shard["start"], q, max(width, 2 * k)), strict=True):
-            near = near[near >= 0]
-            d = np.sqrt(((x[near] - vector) ** 2).sum(1))
-            found = [(float(s), int(ids[i])) for s, node in zip(d, near, strict=True) for i in members[bounds[node] : bounds[node + 1]][: 2 * k] if ids[i] != name]
-            for s, i in sorted(found)[:k]:
-                out[0].append(int(name))
-                out[1].append(i)
-                out[2].append(s)
+        if own.num_rows and asked.num_rows:
+            shard = pickle.loads(own.column("index")[0].as_py())
+            ids, of, x = shard["ids"], shard["of"], shard["x"]
+            members = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[members], np.arange(len(x) + 1))
+            names = asked.column("vec_id").to_numpy()
+            vectors = asked.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+            for at in range(0, len(names), LOCKSTEP):
+                q = vectors[at : at + LOCKSTEP]
+                for name, vector, near in zip(names[at : at + LOCKSTEP], q, beam(x, shard["graph"], shard["start"], q, max(width, 2 * k)), strict=True):
+                    near = near[near >= 0]
+                    d = np.sqrt(((x[near] - vector) ** 2).sum(1))
+                    found = []
+                    for s, node in zip(d, near, strict=True):
+                        rows = ids[members[bounds[node] : bounds[node + 1]]]
+                        found += [(float(s), int(i)) for i in rows[rows != name][:k]]
+                    for s, i in sorted(found)[:k]:
+                        out[0].append(int(name))
+                        out[1].append(i)
+                        out[2].append(s)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = visits.groupBy("dim", "shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
+    found = sent.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
