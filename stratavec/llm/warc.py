@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import drop_path, scratch_path, stored, table
+from stratavec.llm.common import bitmap, drop_path, hit, scratch_path, slot, small_batches, stored, table
 
 MIN_REVISIT = 1000
 #: Uncompressed bytes after which a writer starts another archive.
@@ -31,6 +31,10 @@ ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
 LEVEL = 3
 EOL = b"\r\n"
+#: Parts that the rows of a repeated payload are dealt to.
+SALTS = 16
+#: Compressed bytes of an archive that are read in one piece.
+READ_BYTES = 4 << 20
 
 
 def _place(uri: str):
@@ -39,13 +43,34 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _screened(pages: DataFrame, bits, wanted: bool) -> DataFrame:
+    """The rows whose digest is (or is not) in a bitmap of digests."""
+
+    def run(batches):
+        for batch in batches:
+            keep = hit(bits.value, batch.column("slot").to_numpy(zero_copy_only=False)) == wanted
+            yield batch.filter(pa.array(keep)).select(["page_id", "url", "payload", "payload_bytes", "payload_digest"])
+
+    return pages.select("*", slot("payload_digest").alias("slot")).mapInArrow(run, pages.schema)
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
-    """The pages with payload, payload_bytes, payload_digest, record_type and refers_to."""
+    """The pages with payload, payload_bytes, payload_digest, record_type and refers_to.
+
+    Digests of repeated large payloads are found first. Only rows that may have one (by a fixed-size bitmap) are shuffled,
+    each digest's rows to several parts, so that equal pages do not meet in one task.
+    """
+    spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     large = F.col("payload_bytes") >= MIN_REVISIT
     kept = pages.where(large).groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    joined = pages.join(kept, "payload_digest", "left")
+    kept, _ = stored(kept, "digests")
+    bits = spark.sparkContext.broadcast(bitmap(kept.select(slot("payload_digest").alias("slot"))))
+    dealt = kept.select("payload_digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    some = _screened(pages, bits, True).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = some.join(dealt, ["payload_digest", "part"], "left").drop("part")
+    joined = joined.unionByName(_screened(pages, bits, False).withColumn("kept", F.lit(None).cast("long")))
     again = large & F.col("kept").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to"))
 
@@ -141,7 +166,7 @@ def write_archives(planned: DataFrame, folder: str, date: str = "2024-01-01T00:0
 def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrites every archive record by record; returns the offset index (archive, member, offset, length).
 
-    Each archive also gets a sidecar file `<archive>.idx` with the same offsets as text.
+    Archives are dealt to as many tasks as there are archives, which a fixed number keeps from being merged. Each archive also gets a sidecar file `<archive>.idx` with the same offsets as text.
     """
 
     def run(batches):
@@ -164,14 +189,17 @@ def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
                     out.write("".join(f"{a}\t{b}\n" for a, b in rows).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([new] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["archive", "member", "offset", "length"])
 
-    return manifest.repartition(F.col("archive")).mapInArrow(run, "archive string, member long, offset long, length long")
+    return manifest.repartition(max(1, 2 * manifest.count()), "archive").mapInArrow(run, "archive string, member long, offset long, length long")
 
 
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def read_records(index: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Reads single members by offset and parses them; a response's payload is checked against its digest."""
+    """Reads single members by offset and parses them; a response's payload is checked against its digest.
+
+    Members are dealt by archive and range of offsets, so that no task reads much more than `READ_BYTES` in one place.
+    """
 
     def page(urn: str | None) -> int | None:
         number = (urn or "").removeprefix("<urn:x-page:").rstrip(">")
@@ -199,12 +227,16 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = True) -> Da
         if opened:
             opened.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(run, RECORD_SCHEMA)
+    piece = F.floor(F.col("offset") / READ_BYTES).alias("piece")
+    pieces = index.select("archive", piece).distinct().count()
+    dealt = index.select("archive", "offset", "length", piece).repartition(max(1, 2 * pieces), "archive", "piece").sortWithinPartitions("archive", "offset")
+    return dealt.drop("piece").mapInArrow(run, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Write, normalise, index, read back."""
     spark = pages.sparkSession
+    small_batches(spark)
     whole, single = scratch_path(spark, "warc-whole"), scratch_path(spark, "warc")
     manifest, _ = stored(write_archives(plan_records(pages), whole), "warc-manifest")
     index, _ = stored(normalise(manifest, whole, single), "warc-index")
