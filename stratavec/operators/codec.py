@@ -221,7 +221,8 @@ def train_covariance(x: np.ndarray, queries: np.ndarray, parts: int, codes: int,
     """Codebooks under query covariance: Mahalanobis assignment, Euclidean means, until the cost changes by 1 % or less."""
     cov = block_covariance(queries, parts)
     sub = x.reshape(len(x), parts, -1)
-    books = np.array([sub[:codes, m] for m in range(parts)])
+    start = np.concatenate((sub[:codes], np.zeros((max(0, codes - len(sub)), *sub.shape[1:]))))
+    books = np.array([start[:, m] for m in range(parts)])
     before = np.inf
     for _ in range(most):
         code = assign_mahalanobis(x, books, cov)
