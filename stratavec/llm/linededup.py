@@ -11,8 +11,9 @@ Besides, every line that is not blank counts exactly as it stands, digits too an
 recurs in `min_docs` distinct texts, its first occurrence apart; one of more than `LONG_TOKENS` tokens, which does not
 recur by chance, from `LONG_DOCS` distinct texts on.
 
-Everything is counted with partial aggregation over hashed keys: no leaf meets in one task. Only lines of leaves with
-enough texts and more than one form have their tokens counted.
+Everything is counted with partial aggregation over hashed keys: no leaf meets in one task; which forms of a leaf are within
+which others is found in tiles of bounded size. Only lines of leaves with enough texts and more than one form have their
+tokens counted.
 
 Defined results: lines with fewer than `min_tokens` tokens, or mostly of tokens with digits, never form a template, and blank lines always stay; null and empty texts pass unchanged;
 repeated rows are equal texts and count once; rows that repeat a doc_id with the first occurrence's line at its number all
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,8 @@ LONG_TOKENS = 50
 LONG_DOCS = 2
 #: Documents that go to Python at a time, so that a run of long ones stays small.
 TEXT_ROWS = 1000
+#: Literals of a leaf's forms that meet in one task on either side.
+TILE = 1 << 19
 #: Leading tokens that the tree branches on.
 DEPTH = 3
 _FIELD = np.uint64(0x5851F42D4C957F2D)
@@ -150,6 +154,76 @@ def _slot(column: str):
     return F.col(column).bitwiseAND(F.lit(SLOTS - 1).cast("long")).alias("slot")
 
 
+def subsets(small: tuple[np.ndarray, np.ndarray], big: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of small, row of big) of which the first set is within the second; sets are (entries end to end, sizes), none empty.
+
+    An entry that a 64th of the big sets have is a bit a big set, others are lists of those that have them. A small set with
+    such a list is looked for in the shortest one only, others by the bits they share: both read a 64th of all entries at most.
+    """
+    keys = np.unique(small[0])
+    n, code = len(big[1]), np.searchsorted(keys, big[0])
+    known = code < len(keys)
+    known[known] = keys[code[known]] == big[0][known]
+    code, row = code[known], np.repeat(np.arange(n), big[1])[known]
+    first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+    holders = row[np.argsort(code, kind="stable")]
+    count = np.bincount(code, minlength=len(keys))
+    ends = np.cumsum(count)
+    common = np.flatnonzero(count * 64 >= n)
+    place = np.zeros(len(keys), np.int64)
+    place[common] = np.arange(len(common))
+    bits = np.zeros((len(common), -(-n // 8)), np.uint8)
+    for at, c in enumerate(common):
+        has = np.zeros(n, bool)
+        has[holders[ends[c] - count[c] : ends[c]]] = True
+        bits[at] = np.packbits(has)
+    asked = np.zeros(len(keys), bool)
+    lower, upper = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at, entries in enumerate(np.split(np.searchsorted(keys, small[0]), np.cumsum(small[1])[:-1])):
+        rarest = entries[count[entries].argmin()]
+        if count[rarest] * 64 >= n:
+            found = np.flatnonzero(np.unpackbits(np.bitwise_and.reduce(bits[place[entries]], axis=0), count=n))
+        else:
+            found = holders[ends[rarest] - count[rarest] : ends[rarest]]
+            sizes = first[found + 1] - first[found]
+            spots = np.arange(sizes.sum()) + np.repeat(first[found] - np.cumsum(sizes) + sizes, sizes)
+            asked[entries] = True
+            shared = np.bincount(np.repeat(np.arange(len(found)), sizes)[asked[code[spots]]], minlength=len(found))
+            asked[entries] = False
+            found = found[shared == len(entries)]
+        lower.append(np.full(len(found), at))
+        upper.append(found)
+    return np.concatenate(lower), np.concatenate(upper)
+
+
+def covering(forms: DataFrame) -> DataFrame:
+    """(leaf, mark, template, size): for every form the forms of its leaf that are within it, itself included, and their sizes.
+
+    forms: (leaf, mark, literals array of distinct hashes). Forms of a leaf with many meet in tiles of about TILE literals a side.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        sides = []
+        for side in (True, False):
+            rows = part.filter(pc.equal(part.column("template"), side)).combine_chunks()
+            literals = rows.column("literals").combine_chunks()
+            sizes = pc.list_value_length(literals).to_numpy(zero_copy_only=False).astype(np.int64)
+            sides.append((rows.column("mark").to_numpy(), (literals.flatten().to_numpy(zero_copy_only=False), sizes)))
+        (template, small), (mark, big) = sides
+        a, b = subsets(small, big) if len(template) and len(mark) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"leaf": pa.array(np.full(len(a), key[0].as_py())), "mark": pa.array(mark[b]), "template": pa.array(template[a]), "size": pa.array(small[1][a].astype(np.int32))})
+
+    sizes = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(F.size("literals")) / F.lit(TILE)).alias("tiles"))
+    placed = forms.join(sizes, "leaf")
+    alone = placed.where("n = 1").select("leaf", "mark", F.col("mark").alias("template"), F.size("literals").alias("size"))
+    own, other = F.pmod("mark", "tiles").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    many = placed.where("n > 1").select("leaf", "mark", "literals", own, other)
+    lines = many.select("leaf", F.col("own").alias("i"), F.col("other").alias("j"), "mark", "literals", F.lit(False).alias("template"))
+    templates = many.select("leaf", F.col("other").alias("i"), F.col("own").alias("j"), "mark", "literals", F.lit(True).alias("template"))
+    found = lines.unionByName(templates).groupBy("leaf", "i", "j").applyInArrow(run, "leaf long, mark long, template long, size int")
+    return alone.unionByName(found)
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_literal: float = MIN_LITERAL) -> DataFrame:
     """(line, template, texts, first_doc, first_number): lines of recurring templates, and each template's first occurrence."""
     with arrow_rows(docs.sparkSession, TEXT_ROWS):
@@ -186,12 +260,8 @@ def _recurring(docs: DataFrame, min_docs: int, min_tokens: int, min_literal: flo
     shaped = tokens.join(shape, ["leaf", "line"]).where(F.size("literals") >= F.lit(min_literal) * F.size("tokens"))
     shaped, _ = stored(shaped.select("leaf", "line", "lone", "at", "literals", _mark("literals").alias("mark")), "shaped")
     # A template also covers lines that hold more literals than it: those of the leaf that agree with it wherever it is literal.
-    forms = shaped.groupBy("leaf", "mark").agg(F.min("literals").alias("literals"))
-    masks = forms.select("leaf", F.transform("literals", lambda x: x.pos).alias("held")).distinct()
-    within = F.filter("literals", lambda x: F.array_contains(F.col("held"), x.pos))
-    covers = forms.join(masks, "leaf").withColumn("within", within).where(F.size("within") == F.size("held")).select("leaf", "mark", _mark("within").alias("template"), F.size("held").alias("size"))
-    covers = covers.join(forms.select("leaf", F.col("mark").alias("template")), ["leaf", "template"], "left_semi")
-    covers, _ = stored(covers, "covers")
+    forms, _ = stored(shaped.groupBy("leaf", "mark").agg(F.transform(F.min("literals"), lambda x: x.h).alias("literals")), "forms")
+    covers, _ = stored(covering(forms), "covers")
     general = recurs(shaped.join(covers, ["leaf", "mark"]), ["leaf", "template"], "leaf", "template")
     # Every line goes to one template, the most general, so that first occurrences of templates never drop one another.
     chosen = covers.join(general, ["leaf", "template"]).groupBy("leaf", "mark").agg(F.min(F.struct("size", "template", "total")).alias("best")).select("leaf", "mark", "best.template", "best.total")

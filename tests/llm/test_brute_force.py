@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -111,6 +112,34 @@ def test_line_dedup_matches_a_plain_version(spark):
     assert compared
 
 
+def test_line_dedup_finds_sets_within_sets():
+    rng = np.random.default_rng(3)
+    for pool, n, many in ((12, 300, 9), (3000, 700, 9), (40, 200, 36)):
+        big = [np.unique(rng.integers(0, pool, rng.integers(1, many))) for _ in range(n)]
+        small = [*big[: n // 2], *(rng.permutation(s)[: max(1, len(s) - 2)] for s in big[::3]), np.array([pool + 5]), np.array([0, pool + 5])]
+        sides = [(np.concatenate(x).astype(np.int64), np.array([len(s) for s in x])) for x in (small, big)]
+        a, b = linededup.subsets(*sides)
+        assert Counter(zip(a.tolist(), b.tolist(), strict=True)) == Counter((i, j) for i, s in enumerate(small) for j, t in enumerate(big) if set(s) <= set(t))
+
+
+def test_line_dedup_of_many_forms_in_one_leaf(spark, monkeypatch):
+    """One long line in 1,200 texts with other words changed in each: the time goes up with the forms, not with form pairs x tokens squared."""
+    rng = random.Random(8)
+    line = [f"{a}{b}word" for a in "abcdefghi" for b in "klmnopqrst"]
+    rows = []
+    for doc in range(1200):
+        w = list(line)
+        for place in rng.sample(range(3, 90), rng.randint(1, 25)):
+            w[place] = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+        rows.append((doc, " ".join(w)))
+    made = spark.createDataFrame([*rows, (1200, " ".join(line))], "doc_id long, text string").repartition(3)
+    began = time.monotonic()
+    known = {(r.line, r.template) for r in linededup.recurring(made).collect()}
+    assert time.monotonic() - began < 60
+    monkeypatch.setattr(linededup, "TILE", 20_000)
+    assert {(r.line, r.template) for r in linededup.recurring(made).collect()} == known and len(known) > 1
+
+
 def scalar_mix(x):
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = ((x ^ (x >> shift)) * factor) % 2**64
