@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stratavec.config import DEFAULT
 from stratavec.functions import dot
 from stratavec.operators import cluster, codec, losses
-from stratavec.operators.score import leaders, topk
+from stratavec.operators.score import leaders, merged_topk, topk
 from stratavec.plans.state import Panel, panel
 from stratavec.sources.tables import gallery
 
@@ -304,7 +304,7 @@ def chunked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact neighbours of the validation queries, merged from the leaders of small chunks."""
     made = panel(spark, sf_dir)
     queries = made.items.where("role = 'validation'").select(F.col("item_id").alias("query_id"), F.col("x").alias("q"), F.col("item_id").alias("exclude_id"))
-    return topk(made.items, queries, made.cfg.k, block_rows=128).select("query_id", "rnk", "item_id", "score")
+    return merged_topk(made.items, queries, made.cfg.k, chunk=128)
 
 
 def float_precision_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from stratavec.config import PanelConfig
 from stratavec.operators import codec
 from stratavec.operators.allocate import allocate, exact_small, hull
-from stratavec.operators.score import leaders, topk
+from stratavec.operators.score import leaders, merged_topk, topk
 
 DATA = "/root/testdata/sf0.001"
 
@@ -92,6 +92,19 @@ def test_topk_equals_brute_force(spark):
         assert [got[q, i + 1] for i in range(5)] == np.argsort(-s, kind="stable")[:5].tolist()
 
 
+def test_merged_topk_equals_topk_and_queries_are_not_broadcast_by_block(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(700, 8)), 1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, x array<double>").repartition(5)
+    queries = rows.where("item_id < 30").selectExpr("item_id AS query_id", "x AS q", "CASE WHEN item_id < 20 THEN item_id END AS exclude_id")
+    blocks = topk(rows, queries, 10, block_rows=16)
+    want = sorted(blocks.collect())
+    assert "BroadcastHashJoin" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert sorted(merged_topk(rows, queries, 10, chunk=16).collect()) == want and len(want) == 300
+    assert merged_topk(rows.where("item_id < 4"), queries.where("query_id < 2"), 10, chunk=16).count() == 6
+    assert merged_topk(rows, queries.where("query_id < 0"), 10, chunk=16).count() == merged_topk(rows.where("item_id < 0"), queries, 10, chunk=16).count() == 0
+
+
 def test_vector_files_round_trip(spark, tmp_path):
     from stratavec.sources.tables import load_state, read_fbin, save_state, write_fbin
 
