@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +113,46 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: What this Python worker keeps between an operator's tasks, by name.
+_remembered: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]):
+    """A value that this Python worker keeps between tasks, made when first asked for."""
+    if name not in _remembered:
+        _remembered[name] = make()
+    return _remembered[name]
+
+
+def forget(keep: str = "") -> None:
+    """Drop what this Python worker remembers, but for names that begin with keep."""
+    others = [x for x in _remembered if not keep or not x.startswith(keep)]
+    for name in others:
+        del _remembered[name]
+    if others:
+        gc.collect()
+        hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers from stage to stage, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, that begins without what other operators remember (names that do not begin with keep) and ends
+    with freed memory handed back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        forget(keep)
+        yield from run(batches)
+        hand_back()
+
+    return whole
+
+
 #: Bits of a membership bitmap: 4 MB, whatever the corpus. A full bitmap lets more rows through, never fewer.
 SLOTS = 1 << 25
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import small_batches, table, unused
+from stratavec.llm.common import small_batches, table, tidied, unused
 from stratavec.llm.textbytes import BYTE_LOWER, Texts, mix, slices
 
 #: n-gram buckets: the model is this many rows a language, whatever the corpus.
@@ -75,7 +75,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     if docs.select("lang").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} distinct labels in lang")
-    rows = docs.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.mapInArrow(tidied(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
     code = {x: i for i, x in enumerate(langs)}
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], names: tuple[
                 maps = [[(langs[i], float(row[i])) for i in np.flatnonzero(row > 0)] if ok else [] for row, ok in zip(share, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pred, score, pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

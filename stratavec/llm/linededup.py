@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratavec.llm.common import SLOTS, arrow_rows, bitmap, hit, settled, stored, table, unused
+from stratavec.llm.common import SLOTS, arrow_rows, bitmap, hit, settled, stored, table, tidied, unused
 from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices
 
 MIN_DOCS = 5
@@ -110,7 +110,7 @@ def line_rows(docs: DataFrame, min_tokens: int, min_literal: float) -> DataFrame
                 leaf = pa.array(x.leaf.view(np.int64), mask=~x.general)
                 yield pa.RecordBatch.from_arrays([leaf, _signed(x.line), pa.array(x.long), _signed(x.text[x.doc]), batch.column("doc_id").cast(pa.int64()).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32))], ["leaf", "line", "long", "text", "doc_id", "number"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "leaf long, line long, long boolean, text long, doc_id long, number int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "leaf long, line long, long boolean, text long, doc_id long, number int")
 
 
 def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal: float) -> DataFrame:
@@ -134,7 +134,7 @@ def token_rows(docs: DataFrame, wanted: DataFrame, min_tokens: int, min_literal:
                 if lines:
                     yield pa.RecordBatch.from_arrays([_signed(np.array(lines, np.uint64)), pa.array(tokens, pa.list_(pa.int64()))], ["line", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "line long, tokens array<long>")
+    return docs.select("text").mapInArrow(tidied(run), "line long, tokens array<long>")
 
 
 _SLOT_BITS = np.uint64(SLOTS - 1)
@@ -304,7 +304,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(rows), pa.array(n_lines, pa.int32()), pa.array(hits, kind)], names)
 
     with arrow_rows(spark, TEXT_ROWS):
-        marked, _ = stored(docs.mapInArrow(run, schema), "marked")
+        marked, _ = stored(docs.mapInArrow(tidied(run), schema), "marked")
     hits = marked.where(F.size(hits_) > 0)
     found = hits.select(row_, "doc_id", F.inline(hits_)).join(known, "line").where("NOT (doc_id <=> first_doc AND number = first_number)")
     gone = found.groupBy(row_).agg(F.collect_set("number").alias(gone_))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm.common import arrow_rows, bitmap, drop_path, hit, slot, stored, table, unused
+from stratavec.llm.common import arrow_rows, bitmap, drop_path, hit, slot, stored, table, tidied, unused
 from stratavec.llm.graph import components
 from stratavec.llm.textbytes import MULTIPLIERS, Texts, mix, slices, windows
 
@@ -190,7 +190,7 @@ def sampled_rows(docs: DataFrame, level) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "cls"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long")
+    return docs.select("text").mapInArrow(tidied(run), "token long, cls long")
 
 
 def _shared(batches):
@@ -208,7 +208,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def live_classes(docs: DataFrame, level, classes: DataFrame) -> DataFrame:
     """(cls, n, rep) of the classes that the sampled part does not rule out."""
-    shared = sampled_rows(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared, "cls long, shared long")
+    shared = sampled_rows(docs, level).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(tidied(_shared), "cls long, shared long")
     counted = shared.groupBy("cls").agg(F.sum("shared").alias("shared"))
     return classes.join(counted, "cls", "left").where(f"sampled - coalesce(shared, 0) <= n - {LEAST}").select("cls", "n", "rep")
 
@@ -236,7 +236,7 @@ def full_rows(docs: DataFrame, level, live: DataFrame) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "cls"])
 
-    return docs.select("text", slot("doc_id").alias("slot")).mapInArrow(run, "token long, cls long")
+    return docs.select("text", slot("doc_id").alias("slot")).mapInArrow(tidied(run), "token long, cls long")
 
 
 def _ranked(batches):
@@ -252,7 +252,7 @@ def cores_of(docs: DataFrame, level, live: DataFrame) -> DataFrame:
     """(cls, n, core, rank): the entries that other classes have, of the classes that have enough of them to link; rank leads blocks."""
     token = F.col("token")
     dealt = F.when(token < _HOT, token).otherwise(F.xxhash64("token", "cls"))
-    ranked = full_rows(docs, level, live).repartition(dealt).sortWithinPartitions("token", "cls").mapInArrow(_ranked, "cls long, entry long")
+    ranked = full_rows(docs, level, live).repartition(dealt).sortWithinPartitions("token", "cls").mapInArrow(tidied(_ranked), "cls long, entry long")
     cores = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("entry")).alias("core")).join(live.select("cls", "n"), "cls").where(f"size(core) >= {LEAST}")
     common = F.aggregate("core", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), F.shiftright(x, 59)))
     rank = F.floor(common / F.col("n") * 1000) * F.lit(1 << 32) + F.col("cls").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -418,7 +418,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cls (class of equal sets), component_id."""
     spark = docs.sparkSession
     with arrow_rows(spark, 2000):
-        surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(_survey, "kind int, doc_id long, n long, sampled long, cls long, block int, part int, data binary"), "survey")
+        surveyed, _ = stored(docs.select("doc_id", "text").mapInArrow(tidied(_survey), "kind int, doc_id long, n long, sampled long, cls long, block int, part int, data binary"), "survey")
         level = spark.sparkContext.broadcast(levels(surveyed))
         rows = surveyed.where("kind = 0").select("doc_id", "n", "sampled", "cls")
         classes, classes_path = stored(classes_of(rows), "classes")
@@ -455,7 +455,7 @@ def _screened(docs: DataFrame, bits, wanted: bool) -> DataFrame:
             keep = hit(bits.value, batch.column(at).to_numpy(zero_copy_only=False)) == wanted
             yield batch.filter(pa.array(keep)).select(columns)
 
-    return docs.select(*columns, slot("doc_id").alias(at)).mapInArrow(run, docs.schema)
+    return docs.select(*columns, slot("doc_id").alias(at)).mapInArrow(tidied(run), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

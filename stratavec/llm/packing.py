@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratavec.llm.common import arrow_rows, small_batches, stored, table
+from stratavec.llm.common import arrow_rows, remembered, small_batches, stored, table, tidied
 from stratavec.llm.textbytes import slices
 
 CAPACITY = 2048
@@ -98,9 +97,8 @@ class WordEncoder:
         return [b"".join(map(get, raw.split())) for raw in raws]
 
 
-@cache
 def encoder(tokenizer_file: str) -> WordEncoder:
-    return WordEncoder(tokenizer_file)
+    return remembered(f"packing:{tokenizer_file}", lambda: WordEncoder(tokenizer_file))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, number long, ids binary"
@@ -128,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, keep_
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, "packing:"), PIECES)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -198,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, keep_id
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * keep_ids + "sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(run, schema)
+    return ranked.select(*columns, "rank").mapInArrow(tidied(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -310,6 +310,27 @@ def test_stages_keep_clashing_columns(spark, module):
     assert all(r[n] == 100 * r.doc_id + k for r in got for k, n in enumerate(NAMES))
 
 
+def test_workers_forget_what_other_operators_remember(spark):
+    """In one worker: after packing, a task of another operator finds the words gone, and packing's own finds them kept."""
+    from stratavec.llm import common
+
+    def fill(batches):
+        common.remembered("packing:test", lambda: [0])
+        yield from batches
+
+    def found(batches):
+        n = len(common._remembered)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], ["id"])
+
+    one = spark.range(1).coalesce(1)
+    counts = []
+    for keep in ("packing:", ""):
+        one.mapInArrow(common.tidied(fill, "packing:"), "id long").collect()
+        counts.append(one.mapInArrow(common.tidied(found, keep), "id long").first().id)
+    assert counts == [1, 0]
+
+
 def test_packing_ignores_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 7, 8, 9)], "doc_id long, text string, length int, rank int, task int")
     assert [(r.doc_id, r.length) for r in packing.pack(docs, packing.tokenizer_path()).collect()] == [(1, 3)]
